@@ -33,7 +33,7 @@ class SegmentTreeBpe:
     """Encodes with merge ranks; ``ranks`` maps the bytes of each token to its id."""
 
     #: entries that the memo of lines and of pieces may hold before it starts anew
-    MEMO = 200_000
+    MEMO = 60_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
