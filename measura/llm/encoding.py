@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,7 +153,7 @@ def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, boo
     readings = []
     if not out.isascii():
         for word in dict.fromkeys(_WORD.findall(out)):
-            if not word.isascii() and (oddness(word) or len(word) > 3 and _script(word[-1]) == "CYRILLIC"):
+            if not word.isascii() and (len(word) > 3 or oddness(word)):
                 for wrong, true in chains:
                     if true not in TRUE_WIDE and (fixed := undo(word, wrong, true)) is not None:
                         if all(c.isalpha() or c in "'’-“”" for c in fixed if c > "\x7f") and oddness(fixed) == 0 and _plausible(fixed):
@@ -163,7 +164,7 @@ def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, boo
 _PAIRS = T.StructType([T.StructField("skeleton", T.StringType()), T.StructField("odd", T.IntegerType()), T.StructField("other", T.IntegerType())])
 
 
-@F.arrow_udf(_PAIRS)
+@F.arrow_udf(_PAIRS)  # its result is kept, so it runs once
 def _stripped(lines: pa.Array) -> pa.Array:
     texts = lines.to_pylist()
     skeletons = [_skeleton(t) for t in texts]
@@ -213,7 +214,7 @@ def learn(lines: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[str, str]]
     What reaches the driver is a count for each set of codec pairs that agree on a twin, never a
     line. A cover is chosen greedily, so of codecs that read alike only the best supported stays.
     """
-    marked = lines.where(F.col("line").rlike(r"[^\x00-\x7F]|\?")).withColumn("s", _stripped("line")).select("line", "n", "s.*")
+    marked = lines.where(F.col("line").rlike(r"[^\x00-\x7F]|\?")).withColumn("s", _stripped("line")).select("line", "n", "s.*").persist(StorageLevel.DISK_ONLY)
     best = marked.where("skeleton IS NOT NULL").groupBy("skeleton").agg(F.min_by("line", F.struct("odd", "other", -F.col("n"), "line")).alias("clean"), F.min("odd").alias("least"), F.count("*").alias("variants")).where("variants > 1")
     twins = marked.where("odd > 0").join(best.where("least = 0").select("skeleton", "clean"), "skeleton").where("line <> clean").select("line", "clean")
     votes = twins.mapInArrow(_align, "chain string, votes long")
@@ -240,7 +241,7 @@ def learn(lines: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[str, str]]
         counted = Counter({t: v for t, v in counted.items() if best_chain not in t})
 
 
-_OUT = T.StructType([T.StructField("now", T.StringType()), T.StructField("changed", T.BooleanType()), T.StructField("lost", T.BooleanType()), T.StructField("readings", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("fixed", T.StringType()), T.StructField("chain", T.StringType())])))])
+_OUT = T.StructType([T.StructField("now", T.StringType()), T.StructField("changed", T.BooleanType()), T.StructField("lost", T.BooleanType()), T.StructField("readings", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("fixed", T.StringType()), T.StructField("chain", T.StringType()), T.StructField("odd", T.BooleanType())])))])
 _TOKENS = r"[^\p{L}\p{M}\p{N}'’-]+"
 
 
@@ -257,7 +258,7 @@ def repair_lines(lines: DataFrame, chains: Sequence[tuple[str, str]]) -> DataFra
     or word, of the corpus that agrees on everything else; ``is_restored`` says whether all came back.
     """
     chains = list(chains)
-    kind = pa.list_(pa.struct([("word", pa.string()), ("fixed", pa.string()), ("chain", pa.string())]))
+    kind = pa.list_(pa.struct([("word", pa.string()), ("fixed", pa.string()), ("chain", pa.string()), ("odd", pa.bool_())]))
 
     @F.arrow_udf(_OUT)
     def apply(texts: pa.Array) -> pa.Array:
@@ -267,11 +268,12 @@ def repair_lines(lines: DataFrame, chains: Sequence[tuple[str, str]]) -> DataFra
             now.append(out)
             changed.append(did)
             lost.append(bool(_LOSS.search(out)) or bool(re.search(r"(?<!\S)\?{2,}(?!\S)", out)) or any("\x80" <= c <= "\x9f" for c in out))
-            readings.append([{"word": a, "fixed": b, "chain": c} for a, b, c in words])
+            readings.append([{"word": a, "fixed": b, "chain": c, "odd": oddness(a) > 0} for a, b, c in words])
         return pa.StructArray.from_arrays([pa.array(now, pa.string()), pa.array(changed), pa.array(lost), pa.array(readings, kind)], names=["now", "changed", "lost", "readings"])
 
+    apply = apply.asNondeterministic()  # else the filter below would run it a second time
     odd = lines.where(F.col("line").rlike(r"[^\x00-\x7F]|\?")).withColumn("r", apply("line")).select("line", "n", "r.*")
-    odd = odd.where("changed OR lost OR size(readings) > 0")
+    odd = odd.where("changed OR lost OR size(readings) > 0").persist(StorageLevel.DISK_ONLY)
     # single-byte readings: words against the counted words of the corpus
     asked = odd.where(F.size("readings") > 0).select("line", "n", F.explode("readings").alias("r")).select("line", "n", "r.*")
     words = lines.select(F.explode(F.split(F.lower("line"), _TOKENS)).alias("token"), "n").where("token <> ''").groupBy("token").agg(F.sum("n").alias("times"))
@@ -280,13 +282,13 @@ def repair_lines(lines: DataFrame, chains: Sequence[tuple[str, str]]) -> DataFra
     judged = (
         asked.join(known.select(F.col("token").alias("f"), F.col("times").alias("good")), _plain_word("fixed") == F.col("f"))
         .join(known.select(F.col("token").alias("w"), F.col("times").alias("bad")), F.lower("word") == F.col("w"), "left")
-        .where("good > coalesce(bad, 0)")
+        .where("good > 3 * coalesce(bad, 0) OR odd AND good > coalesce(bad, 0)")
         .groupBy("line", "chain").agg(F.count("*").alias("met"), F.sum("good").alias("good"))
         .groupBy("line").agg(F.max_by("chain", F.struct("met", "good", "chain")).alias("chain"))
     )
     chosen = asked.join(judged, ["line", "chain"]).groupBy("line").agg(F.max("chain").alias("chain"))
     named = odd.join(chosen, "line", "left").where("changed OR lost OR chain IS NOT NULL")
-    named = named.withColumn("now", _read_again("now", "chain"))
+    named = named.withColumn("now", _read_again("now", "chain")).persist(StorageLevel.DISK_ONLY)
     # lost characters: the clean line, or word, that agrees on the rest
     holes = named.where(F.col("now").rlike(r"[�?]")).select("line", "now")
     whole = holes.withColumn("skeleton", _bare("now"))
@@ -309,10 +311,10 @@ def _read_again(texts: pa.Array, chains: pa.Array) -> pa.Array:
 
     def fix(m: re.Match, wrong: str, true: str) -> str:
         word = m[0]
-        if word.isascii() or not (oddness(word) or any(_script(c) == "CYRILLIC" for c in word)):
+        if word.isascii():
             return word
         fixed = undo(word, wrong, true)
-        return fixed if fixed is not None and _plausible(fixed) else word
+        return fixed if fixed is not None and _plausible(fixed) and oddness(fixed) == 0 and all(c.isalpha() or c < "\x80" or c in "’“”—–" for c in fixed) else word
 
     out = []
     for t, c in zip(texts.to_pylist(), chains.to_pylist(), strict=True):

@@ -39,7 +39,7 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field that isn't in the consistent form, with its text in that form; garbled fields are left to problem 1."""
     media = media_fields(spark, sf_dir)
     fields = media.unionByName(_field(table(spark, sf_dir, "raw_cues"), "cue", "cue_id", "text"))
-    garbled = p1_restored(spark, sf_dir).where("rec_kind = 'media'").select(*KEYS)
+    garbled = garbled_fields(media, KEYS, "text").select(*KEYS)
     return unify(fields, KEYS, "text").join(garbled, KEYS, "left_anti")
 
 

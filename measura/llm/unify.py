@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +147,9 @@ def _checked(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(plains, pa.string()), pa.array(repairs, kind)], names=["plain", "repairs"])
 
 
+_checked = _checked.asNondeterministic()  # else a filter on its result would run it a second time
+
+
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """(token, n) of all lower-case words of a text column, counted over all rows."""
     words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{N}]+")).alias("token"))
@@ -166,7 +170,7 @@ def unify(df: DataFrame, keys: Sequence[str], text: str, corpus: DataFrame | Non
     whole = corpus if corpus is not None else rows.select("original")
     odd = rows.where(F.col("original").rlike(r"[^\x00-\x7F]")).dropDuplicates(keys)
     checked = odd.withColumn("c", _checked("original")).where((F.col("c.plain") != F.col("original")) | (F.size("c.repairs") > 0))
-    checked = checked.select(*keys, "original", F.col("c.plain").alias("plain"), F.col("c.repairs").alias("repairs"))
+    checked = checked.select(*keys, "original", F.col("c.plain").alias("plain"), F.col("c.repairs").alias("repairs")).persist(StorageLevel.DISK_ONLY)
     asked = checked.where(F.size("repairs") > 0).select(F.explode("repairs").alias("r")).select(F.lower("r.fixed").alias("token")).distinct()
     known = vocabulary(whole, whole.columns[0]).join(asked, "token", "left_semi").select("token")
     words = checked.where(F.size("repairs") > 0).select(*keys, F.explode("repairs").alias("r")).withColumn("token", F.lower("r.fixed"))
