@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_tokens", "q_repair", "q_runs", "q_names", "q_abuse")
+MODULES = ("q_tokens", "q_repair", "q_language", "q_runs", "q_names", "q_abuse")
 
 
 def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
