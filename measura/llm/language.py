@@ -22,10 +22,10 @@ from measura.llm.runs import INTERJECTIONS, line_key
 from measura.llm.unify import folded
 
 #: units of each direction, bytes of a window, sample rows read at most, passes over them
-HIDDEN = 40
+HIDDEN = 56
 WINDOW = 28
 MAX_SAMPLES = 4000
-EPOCHS = 150
+EPOCHS = 200
 
 # Codes and names of languages, and labels that name none.
 THREE_LETTERS = {"eng": "en", "fra": "fr", "fre": "fr", "spa": "es", "deu": "de", "ger": "de", "ita": "it", "por": "pt", "rus": "ru", "pol": "pl", "nld": "nl", "dut": "nl", "swe": "sv", "jpn": "ja", "dan": "da", "nor": "no", "fin": "fi", "zho": "zh", "chi": "zh", "kor": "ko", "tur": "tr", "ukr": "uk", "ces": "cs", "cze": "cs", "ron": "ro", "rum": "ro", "hun": "hu", "ell": "el", "gre": "el", "ara": "ar", "heb": "he", "cat": "ca"}

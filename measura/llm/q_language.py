@@ -13,6 +13,8 @@ from measura.session import table
 KEYS = ["rec_kind", "rec_id"]
 #: lines (cues) that a language needs to count as one of several
 MIXED_LINES = 3
+#: confidence that such a line needs
+LINE_CONFIDENCE = 0.8
 
 
 def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +37,12 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main language of each record with text, the confidence in it, and the languages of three or more lines."""
-    per = p3_lines(spark, sf_dir).groupBy(*KEYS, "lang").agg(F.count("*").alias("n"), F.sum("conf").alias("sure"))
+    per = p3_lines(spark, sf_dir).groupBy(*KEYS, "lang").agg(F.count("*").alias("n"), F.sum("conf").alias("sure"), F.count_if(F.col("conf") >= LINE_CONFIDENCE).alias("n_sure"))
     whole = per.groupBy(*KEYS).agg(
         F.max_by("lang", F.struct("n", "sure", "lang")).alias("language_code"),
         (F.max(F.struct("n", "sure"))["sure"] / F.sum("n")).alias("language_confidence"),
         F.sum("n").alias("n_lines"),
-        F.array_sort(F.collect_list(F.when(F.col("n") >= MIXED_LINES, F.col("lang")))).alias("languages"),
+        F.array_sort(F.collect_list(F.when(F.col("n_sure") >= MIXED_LINES, F.col("lang")))).alias("languages"),
     )
     return whole.join(_labels(spark, sf_dir), KEYS)
 
