@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from measura.session import cut
+
 #: Codecs that texts are wrongly read with, and codecs they were written in.
 WRONG = ("cp1252", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "cp1250", "cp852")
 TRUE_WIDE = ("utf-8", "cp932", "euc_jp")
@@ -273,7 +275,7 @@ def repair_lines(lines: DataFrame, chains: Sequence[tuple[str, str]]) -> DataFra
 
     apply = apply.asNondeterministic()  # else the filter below would run it a second time
     odd = lines.where(F.col("line").rlike(r"[^\x00-\x7F]|\?")).withColumn("r", apply("line")).select("line", "n", "r.*")
-    odd = odd.where("changed OR lost OR size(readings) > 0").persist(StorageLevel.DISK_ONLY)
+    odd = cut(odd.where("changed OR lost OR size(readings) > 0"))
     # single-byte readings: words against the counted words of the corpus
     asked = odd.where(F.size("readings") > 0).select("line", "n", F.explode("readings").alias("r")).select("line", "n", "r.*")
     words = lines.select(F.explode(F.split(F.lower("line"), _TOKENS)).alias("token"), "n").where("token <> ''").groupBy("token").agg(F.sum("n").alias("times"))
@@ -288,7 +290,7 @@ def repair_lines(lines: DataFrame, chains: Sequence[tuple[str, str]]) -> DataFra
     )
     chosen = asked.join(judged, ["line", "chain"]).groupBy("line").agg(F.max("chain").alias("chain"))
     named = odd.join(chosen, "line", "left").where("changed OR lost OR chain IS NOT NULL")
-    named = named.withColumn("now", _read_again("now", "chain")).persist(StorageLevel.DISK_ONLY)
+    named = cut(named.withColumn("now", _read_again("now", "chain")).select("line", "now"))
     # lost characters: the clean line, or word, that agrees on the rest
     holes = named.where(F.col("now").rlike(r"[�?]")).select("line", "now")
     whole = holes.withColumn("skeleton", _bare("now"))
@@ -377,7 +379,7 @@ def garbled_fields(df: DataFrame, keys: Sequence[str], text: str, min_votes: int
     split = rows.select(*keys, F.posexplode(F.split("original", "\n")).alias("at", "raw"))
     split = split.withColumn("stamp", F.regexp_extract("raw", STAMP, 1)).withColumn("line", F.regexp_replace(F.regexp_replace("raw", STAMP, ""), "\r$", ""))
     lines = split.where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).persist()
-    fixed = repair_lines(lines, learn(lines, min_votes) if chains is None else chains)
+    fixed = cut(repair_lines(lines, learn(lines, min_votes) if chains is None else chains))
     suspect = split.where(F.col("line").rlike(r"[^\x00-\x7F]|\?"))
     hits = suspect.join(fixed, "line").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", F.concat("stamp", "restored")))).alias("new"), F.min("is_restored").alias("is_restored"))
     out = rows.join(hits, keys)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from measura.llm.runs import within
 from measura.llm.unify import folded
+from measura.session import cut
 
 #: shortest suffix that is indexed (two letters for scripts that write a word in few signs)
 MIN_SUFFIX = 4
@@ -168,7 +169,7 @@ _NAMED = T.StructType([T.StructField("name", T.StringType()), T.StructField("suf
 
 
 @F.arrow_udf(_NAMED)
-def _indexed(names: pa.Array) -> pa.Array:
+def _indexed_udf(names: pa.Array) -> pa.Array:
     folds, ends, firsts = [], [], []
     for n in names.to_pylist():
         f = " ".join(folded(n).split()) if n is not None else ""
@@ -180,6 +181,9 @@ def _indexed(names: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(folds, pa.string()), pa.array(ends, strings), pa.array(firsts, strings)], names=["name", "suffixes", "initials"])
 
 
+_indexed = _indexed_udf.asNondeterministic()  # else its fields would be taken from several runs
+
+
 @F.arrow_udf(T.DoubleType())
 def _cost(spellings: pa.Array, acts: pa.Array) -> pa.Array:
     out = []
@@ -204,17 +208,17 @@ def link_names(names: DataFrame, name: str, register: DataFrame, register_key: s
     spelt = names.select(F.col(name).alias("original")).where(F.trim("original") != "").distinct().withColumn("x", _indexed("original"))
     spelt = spelt.select("original", F.col("x.name").alias("spelling"), F.col("x.suffixes").alias("suffixes"), F.col("x.initials").alias("initials"))
     acts = register.select(F.col(register_key).alias("rk"), F.col(register_name).alias("rn")).where(F.trim("rn") != "").dropDuplicates(["rk"]).withColumn("x", _indexed("rn"))
-    acts = acts.select("rk", F.col("x.name").alias("act"), F.col("x.suffixes").alias("suffixes"), F.col("x.initials").alias("initials"))
+    acts = cut(acts.select("rk", F.col("x.name").alias("act"), F.col("x.suffixes").alias("suffixes"), F.col("x.initials").alias("initials")))  # read several times below
     ends = acts.select("rk", "act", "initials", F.explode("suffixes").alias("suffix"))
     common = ends.groupBy("suffix").agg(F.count("*").alias("shared"))
     ends = ends.join(common, "suffix")
     plain = ends.where(F.col("shared") <= COMMON).select("rk", "act", F.col("suffix").alias("block"))
     finer = ends.where(F.col("shared") > COMMON).select("rk", "act", F.explode("initials").alias("i"), "suffix").select("rk", "act", F.concat("suffix", F.lit("|"), "i").alias("block"))
     kept = finer.groupBy("block").agg(F.count("*").alias("shared")).where(F.col("shared") <= COMMON_REFINED)
-    index = plain.unionByName(finer.join(kept.select("block"), "block", "left_semi"))
-    one = spelt.select("original", "spelling", F.explode("suffixes").alias("block"))
-    two = spelt.select("original", "spelling", F.explode("suffixes").alias("s"), "initials").select("original", "spelling", "s", F.explode("initials").alias("i")).select("original", "spelling", F.concat("s", F.lit("|"), "i").alias("block"))
-    pairs = one.unionByName(two).join(index, "block").select("original", "spelling", "rk", "act").distinct()
+    index = cut(plain.unionByName(finer.join(kept.select("block"), "block", "left_semi")))
+    refined = F.flatten(F.transform("suffixes", lambda s: F.transform("initials", lambda i: F.concat(s, F.lit("|"), i))))
+    blocks = spelt.select("original", "spelling", F.explode(F.concat("suffixes", refined)).alias("block"))
+    pairs = blocks.join(index, "block").select("original", "spelling", "rk", "act").distinct()
     scored = pairs.withColumn("cost", _cost("spelling", "act")).where("cost IS NOT NULL")
     best = scored.groupBy("original").agg(F.min(F.struct("cost", "rk")).alias("b"), F.array_sort(F.collect_list("cost")).alias("costs"))  # the entries that fit one name
     clear = (F.size("costs") == 1) | (F.try_element_at("costs", F.lit(2)) > F.col("b.cost") + 0.05)
