@@ -298,7 +298,7 @@ SELECT doc_id, coalesce(CAST(p[3] AS DOUBLE), 0) * 3600 + CAST(p[2] AS DOUBLE) *
     "h18_aligned_source": f"WITH {_LY} SELECT lyrics_id, origin || '-aligned' AS source FROM ly",
     "h19_size_labels": f"WITH {_ME}, n AS (SELECT song_id, CASE song_id % 3 WHEN 0 THEN song_id * 1024 WHEN 1 THEN song_id * 1048576 ELSE song_id END AS n FROM me) SELECT song_id, CASE WHEN n >= 1073741824 AND n % 1073741824 = 0 THEN (n // 1073741824) || 'G' WHEN n >= 1048576 AND n % 1048576 = 0 THEN (n // 1048576) || 'M' WHEN n >= 1024 AND n % 1024 = 0 THEN (n // 1024) || 'K' ELSE n || ' bytes' END AS label FROM n",
     "h21_clock_seconds": f"WITH src AS (SELECT doc_id, text FROM documents WHERE doc_kind = 'lrc'), {_LINES('src', 'doc_id')}, c AS (SELECT doc_id, line_ix, regexp_extract(line, '\\[(\\d{{1,3}}:\\d{{1,2}}(?:\\.\\d{{1,3}})?)\\]', 1) AS c FROM lines) SELECT doc_id, line_ix::INT AS line_ix, CAST(split_part(c, ':', 1) AS DOUBLE) * 60 + CAST(split_part(c, ':', 2) AS DOUBLE) AS seconds FROM c WHERE c <> ''",
-    "h22_clock_text": "WITH n AS (SELECT DISTINCT note_id, TRY_CAST(round(greatest(start_s, 0) * 1000) AS BIGINT) AS ms FROM notes WHERE NOT isnan(start_s)) SELECT note_id, CASE WHEN ms // 60000 < 10 THEN '0' ELSE '' END || (ms // 60000) || ':' || lpad((ms % 60000 // 1000)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') AS clock FROM n",
+    "h22_clock_text": "WITH n AS (SELECT DISTINCT note_id, TRY_CAST(round(greatest(start_s, 0) * 1000) AS BIGINT) AS ms FROM notes WHERE isfinite(start_s)) SELECT note_id, CASE WHEN ms // 60000 < 10 THEN '0' ELSE '' END || (ms // 60000) || ':' || lpad((ms % 60000 // 1000)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') AS clock FROM n",
     "h24_utc_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events",
     "h25_fret_geometry": "SELECT f::INT AS fret, round(1 - 2.0::DOUBLE ** (-f / 12), 9) AS position, round(CASE WHEN f = 0 THEN 0 ELSE ((1 - 2.0::DOUBLE ** (-(f - 1) / 12)) + (1 - 2.0::DOUBLE ** (-f / 12))) / 2 END, 9) AS centre, round((1 - 2.0::DOUBLE ** (-f / 12)) / (1 - 2.0::DOUBLE ** (-20.0::DOUBLE / 12)), 9) AS shown FROM range(0, 25) r(f)",
     "h28_inlays": "SELECT f::INT AS fret, CASE WHEN f IN (12, 24) THEN 2 WHEN f IN (3, 5, 7, 9, 15, 17, 19, 21) THEN 1 ELSE 0 END AS dots FROM range(0, 25) r(f)",
