@@ -162,7 +162,7 @@ def explain(spelling: str, act: str) -> float | None:
     initials = sum(len(s) == 1 for s in have)
     if initials >= len(have) - 0 or best > 3.5:
         return None
-    return best + joined
+    return max(best + joined, 0.05)  # other words in between, or another order, are another spelling
 
 
 _NAMED = T.StructType([T.StructField("name", T.StringType()), T.StructField("suffixes", T.ArrayType(T.StringType())), T.StructField("initials", T.ArrayType(T.StringType()))])
