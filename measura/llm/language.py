@@ -24,8 +24,9 @@ from measura.llm.unify import folded
 #: units of each direction, bytes of a window, sample rows read at most, passes over them
 HIDDEN = 56
 WINDOW = 28
+OVERLAP = 6
 MAX_SAMPLES = 4000
-EPOCHS = 200
+EPOCHS = 140
 
 # Codes and names of languages, and labels that name none.
 THREE_LETTERS = {"eng": "en", "fra": "fr", "fre": "fr", "spa": "es", "deu": "de", "ger": "de", "ita": "it", "por": "pt", "rus": "ru", "pol": "pl", "nld": "nl", "dut": "nl", "swe": "sv", "jpn": "ja", "dan": "da", "nor": "no", "fin": "fi", "zho": "zh", "chi": "zh", "kor": "ko", "tur": "tr", "ukr": "uk", "ces": "cs", "cze": "cs", "ron": "ro", "rum": "ro", "hun": "hu", "ell": "el", "gre": "el", "ara": "ar", "heb": "he", "cat": "ca"}
@@ -180,7 +181,7 @@ class BiGru:
         windows: list[tuple[int, bytes]] = []
         for i, t in enumerate(texts):
             b = t.encode("utf-8", "replace")
-            windows += [(i, b[a : a + WINDOW]) for a in range(0, max(1, len(b) - WINDOW // 2), WINDOW // 2)]
+            windows += [(i, b[a : a + WINDOW]) for a in range(0, max(1, len(b) - OVERLAP), WINDOW - OVERLAP)]
         total = np.zeros((len(texts), len(self.codes)))
         size = np.zeros(len(texts))
         windows.sort(key=lambda w: len(w[1]))
