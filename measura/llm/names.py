@@ -68,7 +68,7 @@ def suffixes(tokens: list[str], least: int = MIN_SUFFIX) -> list[str]:
         out.update(t[i:] for i in range(len(t) - low + 1))
         if len(t) < low:
             out.add(t)
-        for cut in (1, 2, 3, 4):
+        for cut in (1, 2, 3, 4, 5):
             stem = t[:-cut]
             out.update(f"{stem[i:]}~" for i in range(min(2, len(stem) - low + 1)))
     return sorted(out)
