@@ -95,7 +95,7 @@ def a35_library(spark, d):
     """Songs in the order of the library: the latest scan first, then the id."""
     m = table(spark, d, "media_metadata").groupBy("song_id").agg(F.max("scanned_at").alias("at"))
     w = W.partitionBy(F.col("song_id") % 64).orderBy(F.desc("at"), "song_id")
-    return m.select("song_id", F.row_number().over(w).alias("place"))
+    return m.select("song_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 def a6_durations(spark, d):
@@ -131,7 +131,7 @@ def f6_caption_rank(spark, d, wanted: str = "en"):
     lang = F.when(base == wanted, 0).when(base == "", 1).otherwise(2)
     kind = F.when(F.col("language_from") == "requested", 0).when(F.col("language_from") == "model", 1).otherwise(2)
     w = W.partitionBy("song_id").orderBy(lang, kind, "attempt_id")
-    return a.select("attempt_id", "song_id", F.row_number().over(w).alias("rank"))
+    return a.select("attempt_id", "song_id", F.row_number().over(w).cast("long").alias("rank"))
 
 
 def f7_lyric_plan(spark, d):

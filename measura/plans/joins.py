@@ -37,7 +37,7 @@ def j2_word_at(spark, d):
 def j3_first_after(spark, d):
     """The first note, in order, that ends after each probe: where the running maximum of the ends first passes it."""
     w = W.partitionBy("run_id").orderBy("start", "end", "pitch", "confidence", "note_id")
-    n = load_notes(spark, d).withColumn("ix", F.row_number().over(w)).withColumn("reach", F.max("end").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    n = load_notes(spark, d).withColumn("ix", F.row_number().over(w).cast("long")).withColumn("reach", F.max("end").over(w.rowsBetween(W.unboundedPreceding, 0)))
     steps = n.groupBy("run_id", "reach").agg(F.min("ix").alias("ix"))
     return J.next_of(_note_probes(spark, d, 10.0), steps, "run_id", "t", "reach", "ix", ["ix"]).where("ix IS NOT NULL")
 
@@ -47,7 +47,7 @@ def j4_notes_at(spark, d, lead: float = 2.0, capacity: int = 8):
     w = W.partitionBy("run_id").orderBy("start", "end", "pitch", "confidence", "note_id")
     n = load_notes(spark, d).withColumn("ix", F.row_number().over(w))
     hit = J.stabs(n, F.col("start") - lead, F.col("end"), 5.0)
-    place = F.row_number().over(W.partitionBy("run_id", "t").orderBy("ix"))
+    place = F.row_number().over(W.partitionBy("run_id", "t").orderBy("ix")).cast("long")
     sounding = F.col("start") <= F.col("t")
     out = hit.withColumn("place", place).withColumn("total", F.count("*").over(W.partitionBy("run_id", "t"))).where(F.col("place") <= capacity)
     progress = F.when(sounding, F.round((F.col("t") - F.col("start")) / (F.col("end") - F.col("start")), 6))

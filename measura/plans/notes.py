@@ -116,7 +116,7 @@ def h27_event_labels(spark, d):
 
 def f1_note_order(spark, d):
     w = W.partitionBy("run_id").orderBy("start", "end", "pitch", "confidence", "note_id")
-    return load_notes(spark, d).select("run_id", "note_id", F.row_number().over(w).alias("place"))
+    return load_notes(spark, d).select("run_id", "note_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 def d5_density(spark, d, buckets: int = 192):
@@ -153,7 +153,7 @@ def a33_overlap_bound(spark, d, most: int = 256):
 
 def e19_dense_ids(spark, d):
     w = W.partitionBy("run_id").orderBy("start", "end", "pitch", "confidence", "note_id")
-    return load_notes(spark, d).select("note_id", (F.row_number().over(w) - 1).alias("dense_id"))
+    return load_notes(spark, d).select("note_id", (F.row_number().over(w) - 1).cast("long").alias("dense_id"))
 
 
 def b16_below_capo(spark, d, capo: int = 3):

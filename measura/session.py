@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,28 @@ def build_session(app: str = "measura", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app).config(map=settings)
     if master:
         builder = builder.master(master)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for a context, unless PYTHONPATH already leads them to it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if getattr(sc, "_measura_shipped", False):
+        return
+    sc._measura_shipped = True
+    if root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return
+    where = os.path.join(tempfile.mkdtemp(prefix="measura-code-"), "measura_code.zip")  # read by the driver only
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "measura")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(where)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

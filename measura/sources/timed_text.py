@@ -57,4 +57,4 @@ def plain_cues(df: DataFrame, key: str, text: str, duration: Column) -> DataFram
     rows = rows.join(df.select(key, duration.alias("__d")), key)
     w = W.partitionBy(key)
     i, n = F.row_number().over(w.orderBy("line_ix")) - 1, F.count("*").over(w)
-    return rows.withColumns({"i": i, "n": n}).select(key, F.col("i").alias("line_ix"), F.round(F.col("i") * F.col("__d") / F.col("n"), 9).alias("start"), F.round(F.least(F.col("__d"), (F.col("i") + 1) * F.col("__d") / F.col("n")), 9).alias("end"), "text")
+    return rows.withColumns({"i": i, "n": n}).select(key, F.col("i").cast("long").alias("line_ix"), F.round(F.col("i") * F.col("__d") / F.col("n"), 9).alias("start"), F.round(F.least(F.col("__d"), (F.col("i") + 1) * F.col("__d") / F.col("n")), 9).alias("end"), "text")
