@@ -201,6 +201,9 @@ class AbuseModel:
         prior = label.mean()
         odds = np.log((hits + prior) / (total - hits + 1 - prior)) - np.log(prior / (1 - prior))
         score = rows.dot(odds)  # first guess: words that stand mostly in flagged documents
+        # boilerplate of documents flagged by mistake holds no feature that flagged documents own
+        share = (hits + 2 * prior) / (total + 2)
+        telling = np.maximum.reduceat(share[rows.at], rows.edge) >= max(0.5, 1.4 * prior)
         w, b = np.zeros(1 << BITS), -1.0
         m, v, t = np.zeros(1 << BITS), np.zeros(1 << BITS), 0
         for r in range(rounds):
@@ -210,9 +213,10 @@ class AbuseModel:
             unflagged = best[np.isfinite(best) & (y == 0)]
             floor = np.quantile(unflagged, 0.97 if r < 2 else 0.98) if len(unflagged) else 0.0
             floor = floor if r < 2 else max(floor, 0.0)
-            in_flagged = (label == 1) & (score[at] > floor) & ((score[at] >= best[own] - 1e-9) | (score[at] > 0 if r else False))
+            in_flagged = (label == 1) & telling[at] & (score[at] > floor) & ((score[at] >= best[own] - 1e-9) | (score[at] > 0 if r else False))
             guilty = np.zeros(len(tokens))
             np.add.at(guilty, at[in_flagged], 1.0)
+            guilty[clean >= np.maximum(guilty, 1)] = 0.0  # the sentence itself stands in as many unflagged documents
             # sentences of unflagged documents: the ones that look worst, and some of the rest
             order = np.lexsort((-score[at], own))
             place = np.arange(len(order)) - np.r_[0, np.flatnonzero(np.diff(own[order])) + 1][np.cumsum(np.r_[0, np.diff(own[order]) != 0])]
@@ -223,7 +227,7 @@ class AbuseModel:
             sub = _Rows([every[i] for i in use])
             pairs = [(k, s) for k, i in enumerate(use) for s in _swaps(list(tokens[i]), rng)]
             swapped, source = _Rows([slots(s) for _, s in pairs]), np.array([k for k, _ in pairs], np.int64)
-            pos, neg = guilty[use], np.minimum(clean[use], 3.0)
+            pos, neg = guilty[use], np.minimum(clean[use], 10.0)
             pos = pos * (neg.sum() / max(1.0, pos.sum()) * 0.3)
             whole = (pos + neg).sum()
             for _ in range(steps):
