@@ -14,30 +14,50 @@ def grid(ends: DataFrame, key: str, end: str, step: float) -> DataFrame:
     return ends.select(key, F.explode(F.sequence(F.lit(0), F.floor(F.col(end) / step).cast("int"))).alias("__k")).select(key, (F.col("__k") * F.lit(float(step))).alias("t"))
 
 
-def as_of(probes: DataFrame, events: DataFrame, key: str, t: str, start: str, tie: str, payload: Sequence[str]) -> DataFrame:
+def _laid_out(probes: DataFrame, events: DataFrame, key: str, t: str, start: str, tie: str, payload: Sequence[str]) -> DataFrame:
+    """Probes and events of a key in one list: (..., __t, __probe, __tie, __event)."""
+    left = probes.select("*", F.col(t).alias("__t"), F.lit(1).alias("__probe"), F.lit(None).cast(events.select(tie).dtypes[0][1]).alias("__tie"))
+    right = events.select(key, F.col(start).alias("__t"), F.lit(0).alias("__probe"), F.col(tie).alias("__tie"), F.struct(*[F.col(c) for c in payload]).alias("__event"))
+    return left.unionByName(right, allowMissingColumns=True)
+
+
+def _carried(both: DataFrame, key: str, width: float, forward: bool) -> DataFrame:
+    """``both`` with __found: the nearest event at or before (or after) each row of its key.
+
+    Rows are ordered only within stretches of ``width``, so a key with most of the rows spreads over
+    as many tasks as it has stretches; what reaches a stretch from outside comes from a list of one
+    row for each stretch.
+    """
+    rows = both.withColumn("__b", F.floor(F.col("__t") / width))
+    order = ["__t", "__probe", "__tie"]
+    inside = W.partitionBy(key, "__b").orderBy(*order)
+    lists = W.partitionBy(key).orderBy("__b")
+    place = F.struct(*order)
+    if forward:
+        near = F.first("__event", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing))
+        edge, reach = F.min_by("__event", place), F.first("__edge", ignorenulls=True).over(lists.rowsBetween(1, W.unboundedFollowing))
+    else:
+        near = F.last("__event", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+        edge, reach = F.max_by("__event", place), F.last("__edge", ignorenulls=True).over(lists.rowsBetween(W.unboundedPreceding, -1))
+    ends = rows.where("__probe = 0").groupBy(key, "__b").agg(edge.alias("__edge"))
+    stretches = rows.select(key, "__b").distinct().join(ends, [key, "__b"], "left").withColumn("__reach", reach).select(key, "__b", "__reach")
+    return rows.withColumn("__near", near).where("__probe = 1").join(stretches, [key, "__b"]).withColumn("__found", F.coalesce("__near", "__reach"))
+
+
+def as_of(probes: DataFrame, events: DataFrame, key: str, t: str, start: str, tie: str, payload: Sequence[str], width: float = 120.0) -> DataFrame:
     """``probes`` with ``payload`` of the last event that starts at or before ``t`` (the largest ``tie`` of one start); null without one.
 
-    Both sides are laid into one order and the last event is carried forward: one shuffle on the
-    key, no pair of a probe and an event is formed.
+    Both sides are laid into one order and the last event is carried forward; no pair of a probe and
+    an event is formed, and no task holds more than a stretch of ``width`` of one key. Probes with a null key or time are left out.
     """
-    event = F.struct(*[F.col(c) for c in payload])
-    left = probes.select("*", F.col(t).alias("__t"), F.lit(1).alias("__probe"), F.lit(None).cast(events.select(tie).dtypes[0][1]).alias("__tie"))
-    right = events.select(key, F.col(start).alias("__t"), F.lit(0).alias("__probe"), F.col(tie).alias("__tie"), event.alias("__event"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("__t", "__probe", "__tie").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("__event", F.last("__event", ignorenulls=True).over(w)).where("__probe = 1")
-    return out.select(*probes.columns, *[F.col(f"__event.{c}").alias(c) for c in payload])
+    found = _carried(_laid_out(probes, events, key, t, start, tie, payload), key, width, False)
+    return found.select(*probes.columns, *[F.col(f"__found.{c}").alias(c) for c in payload])
 
 
-def next_of(probes: DataFrame, events: DataFrame, key: str, t: str, start: str, tie: str, payload: Sequence[str]) -> DataFrame:
+def next_of(probes: DataFrame, events: DataFrame, key: str, t: str, start: str, tie: str, payload: Sequence[str], width: float = 120.0) -> DataFrame:
     """``probes`` with ``payload`` of the first event that starts after ``t`` (the smallest ``tie`` of one start); null without one."""
-    event = F.struct(*[F.col(c) for c in payload])
-    left = probes.select("*", F.col(t).alias("__t"), F.lit(1).alias("__probe"), F.lit(None).cast(events.select(tie).dtypes[0][1]).alias("__tie"))
-    right = events.select(key, F.col(start).alias("__t"), F.lit(0).alias("__probe"), F.col(tie).alias("__tie"), event.alias("__event"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("__t", "__probe", "__tie").rowsBetween(1, W.unboundedFollowing)
-    out = both.withColumn("__event", F.first("__event", ignorenulls=True).over(w)).where("__probe = 1")
-    return out.select(*probes.columns, *[F.col(f"__event.{c}").alias(c) for c in payload])
+    found = _carried(_laid_out(probes, events, key, t, start, tie, payload), key, width, True)
+    return found.select(*probes.columns, *[F.col(f"__found.{c}").alias(c) for c in payload])
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, l_span: tuple[str, str], r_span: tuple[str, str], width: float, how: str = "inner") -> DataFrame:

@@ -53,6 +53,19 @@ def test_overlap_join_against_all_pairs(spark):
     assert got == {(x[1], y[1]) for x in left for y in right if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2])}
 
 
+def test_as_of_and_next_of_against_all_pairs(spark):
+    rng = random.Random(8)
+    events = [(rng.choice("ab"), i, round(rng.random() * 400, 1)) for i in range(120)]
+    probes = [(rng.choice("abc"), round(rng.random() * 500 - 20, 1)) for _ in range(150)]
+    e = spark.createDataFrame(events, "k string, i long, s double")
+    p = spark.createDataFrame(probes, "k string, t double")
+    for width in (3.0, 50.0, 1e6):
+        back = sorted((r.k, r.t, r.i if r.i is not None else -1) for r in J.as_of(p, e, "k", "t", "s", "i", ["i"], width).collect())
+        ahead = sorted((r.k, r.t, r.i if r.i is not None else -1) for r in J.next_of(p, e, "k", "t", "s", "i", ["i"], width).collect())
+        assert back == sorted((k, t, max(((s, i) for x, i, s in events if x == k and s <= t), default=(0, -1))[1]) for k, t in probes)
+        assert ahead == sorted((k, t, min(((s, i) for x, i, s in events if x == k and s > t), default=(0, -1))[1]) for k, t in probes)
+
+
 def test_text_rules(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(X.clock_text(F.lit(59.9996))) == "01:00.000"
