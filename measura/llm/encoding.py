@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from measura.llm.unify import CYRILLIC_AS_LATIN, GREEK_AS_LATIN
 from measura.session import cut
 
 #: Codecs that texts are wrongly read with, and codecs they were written in.
@@ -30,6 +31,8 @@ TRUE_WIDE = ("utf-8", "cp932", "euc_jp")
 TRUE_NARROW = ("cp1251", "koi8_r", "cp1252", "mac_roman", "cp866", "cp850", "cp1250", "cp437")
 CHAINS = tuple((w, t) for w in WRONG for t in (*TRUE_WIDE, *TRUE_NARROW) if w != t)
 
+#: letters that look like Latin ones, small Greek letters of a shape of their own left out
+POSING = frozenset(CYRILLIC_AS_LATIN) | frozenset(c for c in GREEK_AS_LATIN if c.isupper() or c in "ονρ")
 #: twins that must agree on a transformation before it is applied
 MIN_VOTES = 3
 #: ASCII letters a stripped text needs to identify a twin
@@ -130,6 +133,8 @@ def _wide(text: str, chains: Sequence[tuple[str, str]]) -> str | None:
         if true == "utf-8":
             def fix(m: re.Match, wrong: str = wrong) -> str:
                 out = undo(m[0], wrong, "utf-8")
+                if out is not None and all(_script(c) == "CYRILLIC" for c in m[0]) and any(_script(c) == "JAPANESE" for c in out):
+                    return m[0]  # a Russian word of three letters may happen to be the bytes of one sign
                 return out if out is not None and (_plausible(out) or undo(out, "cp1252", "utf-8")) else m[0]
 
             out = _RUN.sub(fix, text)
@@ -144,6 +149,13 @@ def _wide(text: str, chains: Sequence[tuple[str, str]]) -> str | None:
     return None
 
 
+@lru_cache(50_000)
+def _poses(word: str) -> bool:
+    """Whether a word mixes scripts only by letters that pose as its own: that isn't a wrong decoding."""
+    foreign = [c for c in word if c > "\x7f" and _script(c) in ("CYRILLIC", "GREEK")]
+    return 0 < len(foreign) < sum(map(str.isalpha, word)) and all(c in POSING for c in foreign)
+
+
 def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, bool, list[tuple[str, str, str]]]:
     """(text so far, changed, [(word, reading, chain)]): multi-byte repairs are sure, single-byte readings of odd words need a known word."""
     out, changed = text, False
@@ -155,10 +167,10 @@ def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, boo
     readings = []
     if not out.isascii():
         for word in dict.fromkeys(_WORD.findall(out)):
-            if not word.isascii() and (len(word) > 3 or oddness(word)):
+            if not word.isascii() and (len(word) > 3 or oddness(word)) and not _poses(word):
                 for wrong, true in chains:
                     if true not in TRUE_WIDE and (fixed := undo(word, wrong, true)) is not None:
-                        if all(c.isalpha() or c in "'’-“”" for c in fixed if c > "\x7f") and oddness(fixed) == 0 and _plausible(fixed):
+                        if all(c.isalpha() or c in "'’-" for c in fixed.strip("“”") if c > "\x7f") and oddness(fixed) == 0 and _plausible(fixed):
                             readings.append((word, fixed, f"{wrong}>{true}"))
     return out, changed, readings
 
@@ -313,10 +325,10 @@ def _read_again(texts: pa.Array, chains: pa.Array) -> pa.Array:
 
     def fix(m: re.Match, wrong: str, true: str) -> str:
         word = m[0]
-        if word.isascii():
+        if word.isascii() or _poses(word):
             return word
         fixed = undo(word, wrong, true)
-        return fixed if fixed is not None and _plausible(fixed) and oddness(fixed) == 0 and all(c.isalpha() or c < "\x80" or c in "’“”—–" for c in fixed) else word
+        return fixed if fixed is not None and _plausible(fixed) and oddness(fixed) == 0 and all(c.isalpha() or c < "\x80" or c in "’—–" for c in fixed.strip("“”")) else word
 
     out = []
     for t, c in zip(texts.to_pylist(), chains.to_pylist(), strict=True):

@@ -62,3 +62,9 @@ def test_unify_lists_what_is_not_in_the_form(spark):
     got = {r.id: r.unified for r in unify(df, ["id"], "text").collect()}
     assert got == {2: "the salt road", 3: "the salt road", 6: "Zαxq gone"}  # the last is listed, its repair isn't in the vocabulary
     assert unify(df.limit(0), ["id"], "text").count() == 0
+
+
+def test_words_that_happen_to_be_bytes_stay():
+    chains = [("cp866", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "utf-8"), ("cp1252", "cp932")]
+    for text in ("чем дальше", "Тёмный лес", "сад", "Dе Ceniza", "Döörrholm", "MAÇÃ"):
+        assert restore_line(text, chains)[:2] == (text, False)
