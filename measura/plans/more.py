@@ -13,6 +13,7 @@ from measura.plans.joins import _LF, _low_frets
 from measura.plans.notes import _POS, GROUPS_SQL, SELECTED_SQL, TUNING_SQL, grouped, selected
 from measura.plans.text import _LY
 from measura.session import table
+from measura.sources import timed_text as P
 from measura.sources.bind import CUES_SQL, NOTES_SQL, WORDS_SQL, load_cues, load_notes, load_words
 
 
@@ -56,6 +57,13 @@ def j12_position_pairs(spark, d):
     return a.join(b, on & near).groupBy("a.run_id", "a.anchor").agg(F.count("*").alias("pairs"))
 
 
+def a24_json_cues(spark, d):
+    """Cue documents (one for each attempt, as JSON) read back whole, or rejected: those with a cue that ends before it starts."""
+    c = table(spark, d, "raw_cues").where("start_s IS NOT NULL AND NOT isnan(start_s) AND text IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(end_s)").select("attempt_id", "cue_id", "start_s", "end_s", "text").dropDuplicates(["cue_id"])
+    docs = c.groupBy("attempt_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("cue_id", "start_s", "end_s", "text"))), lambda x: F.struct(x["start_s"].alias("start"), x["end_s"].alias("end"), x["text"].alias("text")))).alias("doc"))
+    return P.json_cues(docs, "attempt_id", "doc").groupBy("attempt_id").agg(F.count("cue_ix").alias("cues"), F.max("reject").alias("reject"))
+
+
 def a25_provenance(spark, d):
     """Timing of each sheet from what it is, with its report only where all of it is in range."""
     t = table(spark, d, "embedded_lyrics").select("lyrics_id", "origin").dropDuplicates(["lyrics_id"])
@@ -91,7 +99,7 @@ def rollup_report(spark, d):
     return t.rollup("origin", "content").agg(F.count("*").alias("sheets")).fillna("all", ["origin", "content"])
 
 
-QUERIES = {f.__name__: f for f in (b5_filter_cues, b10_word_cleaning, d7_lower_median, d8_hand_median, j12_position_pairs, a25_provenance, s14_look_ahead, h23_parse_time, f11_tie_order, rollup_report)}
+QUERIES = {f.__name__: f for f in (b5_filter_cues, b10_word_cleaning, d7_lower_median, d8_hand_median, j12_position_pairs, a24_json_cues, a25_provenance, s14_look_ahead, h23_parse_time, f11_tie_order, rollup_report)}
 ORACLES = {
     "b5_filter_cues": rf"""WITH {CUES_SQL}, {WORDS_SQL}, w AS (SELECT cue_id, unnest(string_split_regex(lower(trim(text)), '\s+')) AS tok, generate_subscripts(string_split_regex(lower(trim(text)), '\s+'), 1) AS ix FROM cues_c), l AS (SELECT *, coalesce((lag(tok) OVER (PARTITION BY cue_id ORDER BY ix) <> tok)::INT, 0) AS cut FROM w), i AS (SELECT *, sum(cut) OVER (PARTITION BY cue_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS isl FROM l), r AS (SELECT cue_id, max(n) AS repeats FROM (SELECT cue_id, isl, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
 k AS (SELECT c.* FROM cues_c c JOIN r USING (cue_id) WHERE repeats <= 16 AND trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) <> '')
@@ -100,6 +108,7 @@ SELECT cue_id FROM k WHERE NOT EXISTS (SELECT 1 FROM words_c w WHERE w.attempt_i
     "d7_lower_median": f"WITH {_LF} SELECT run_id, quantile_disc(fret, 0.5)::INT AS centre FROM lf WHERE fret >= 1 GROUP BY 1",
     "d8_hand_median": f"WITH RECURSIVE {SELECTED_SQL}, {TUNING_SQL}, l AS (SELECT run_id, anchor, pitch, min(pitch - open) AS fret FROM chosen JOIN tuning ON pitch - open BETWEEN 0 AND 20 GROUP BY 1, 2, 3) SELECT run_id, anchor, median(fret)::DOUBLE AS hand FROM l WHERE fret > 0 GROUP BY 1, 2",
     "j12_position_pairs": f"WITH RECURSIVE {SELECTED_SQL}, {TUNING_SQL}, p AS (SELECT run_id, anchor, pitch, string, pitch - open AS fret FROM chosen JOIN tuning ON pitch - open BETWEEN 0 AND 20) SELECT a.run_id, a.anchor, count(*) AS pairs FROM p a JOIN p b ON a.run_id = b.run_id AND a.anchor = b.anchor AND a.pitch < b.pitch AND a.string <> b.string AND (a.fret = 0 OR b.fret = 0 OR abs(a.fret - b.fret) <= 5) GROUP BY 1, 2",
+    "a24_json_cues": "WITH c AS (SELECT DISTINCT cue_id, attempt_id, start_s, end_s, text FROM raw_cues WHERE start_s IS NOT NULL AND NOT isnan(start_s) AND text IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(end_s)) SELECT attempt_id, CASE WHEN bool_and(start_s >= 0 AND end_s >= start_s) THEN count(*) ELSE 0 END AS cues, CASE WHEN NOT bool_and(start_s >= 0 AND end_s >= start_s) THEN 'malformed cue' END AS reject FROM c GROUP BY 1",
     "a25_provenance": f"WITH {_LY} SELECT lyrics_id, CASE WHEN contains(origin, 'syncedlyrics') AND NOT contains(origin, 'unsynced') THEN 'authored' WHEN origin LIKE '%-estimated' THEN 'estimated' ELSE 'unknown' END AS timing FROM ly",
     "s14_look_ahead": f'WITH {NOTES_SQL}, p AS (SELECT run_id, unnest(generate_series(0, CAST(ceil(max("end") / 5) AS BIGINT) + 1)) * 5.0::DOUBLE AS t FROM notes_c GROUP BY 1), h AS (SELECT p.run_id, p.t, count(*) AS n FROM p JOIN notes_c n ON n.run_id = p.run_id AND n.start - 4.0 <= p.t AND p.t < n.start + 0.22::DOUBLE GROUP BY 1, 2) SELECT run_id, max(n) AS most FROM h GROUP BY 1',
     "h23_parse_time": "WITH m AS (SELECT DISTINCT song_id FROM media_metadata) SELECT song_id, CASE WHEN song_id % 3 < 2 AND (song_id % 3 = 1 OR song_id < 60000) THEN song_id::DOUBLE END AS seconds FROM m",

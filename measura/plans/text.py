@@ -160,7 +160,7 @@ def h21_clock_seconds(spark, d):
 
 
 def h22_clock_text(spark, d):
-    return table(spark, d, "notes").where("NOT isnan(start_s)").select("note_id", "start_s").dropDuplicates(["note_id"]).select("note_id", X.clock_text(F.col("start_s")).alias("clock"))
+    return table(spark, d, "notes").where("start_s IS NOT NULL AND NOT isnan(start_s)").select("note_id", "start_s").dropDuplicates(["note_id"]).select("note_id", X.clock_text(F.col("start_s")).alias("clock"))
 
 
 def h24_utc_text(spark, d):
@@ -215,7 +215,7 @@ def h30_display_points(spark, d):
 
 def h31_note_life(spark, d):
     """Visible life of a note, at least 0.22 s, and its level half a second after the onset."""
-    n = table(spark, d, "notes").where("NOT isnan(start_s) AND end_s > start_s AND end_s < 1e300").select("note_id", "start_s", "end_s").dropDuplicates(["note_id"])
+    n = table(spark, d, "notes").where("start_s IS NOT NULL AND NOT isnan(start_s) AND end_s > start_s AND end_s < 1e300").select("note_id", "start_s", "end_s").dropDuplicates(["note_id"])
     life = F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.22))
     return n.select("note_id", F.round(life, 6).alias("life"), F.round(F.greatest(F.lit(0.0), 1 - F.lit(0.5) / life), 6).alias("level"))
 

@@ -58,3 +58,21 @@ def plain_cues(df: DataFrame, key: str, text: str, duration: Column) -> DataFram
     w = W.partitionBy(key)
     i, n = F.row_number().over(w.orderBy("line_ix")) - 1, F.count("*").over(w)
     return rows.withColumns({"i": i, "n": n}).select(key, F.col("i").cast("long").alias("line_ix"), F.round(F.col("i") * F.col("__d") / F.col("n"), 9).alias("start"), F.round(F.least(F.col("__d"), (F.col("i") + 1) * F.col("__d") / F.col("n")), 9).alias("end"), "text")
+
+
+CUES_JSON = "array<struct<start double, end double, text string>>"
+
+
+def json_cues(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, cue_ix, start, end, text, reject) of JSON arrays of cues.
+
+    A document is taken whole or not at all: if its JSON can't be read, or any cue lacks a finite 0 <= start <= end
+    or its text, it gives one row with the reason in ``reject``.
+    """
+    read = df.select(key, F.from_json(text, CUES_JSON, {"mode": "PERMISSIVE"}).alias("cues"), F.col(text).alias("__raw"))
+    good = F.forall("cues", lambda c: F.coalesce(c["text"].isNotNull() & (c["start"] >= 0) & (c["end"] >= c["start"]) & (c["end"] < float("inf")), F.lit(False)))
+    reason = F.when(F.col("cues").isNull(), "unreadable").when(F.size("cues") == 0, "empty").when(~good, "malformed cue")
+    marked = read.withColumn("reject", reason)
+    bad = marked.where("reject IS NOT NULL").select(key, F.lit(None).cast("int").alias("cue_ix"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("string").alias("text"), "reject")
+    fine = marked.where("reject IS NULL").select(key, F.posexplode("cues").alias("cue_ix", "c")).select(key, "cue_ix", "c.start", "c.end", "c.text", F.lit(None).cast("string").alias("reject"))
+    return fine.unionByName(bad)
