@@ -106,6 +106,8 @@ def _token_cost(s: str, a: str) -> float | None:
             return 1.0
         if len(y) > 5 and within(x, y, 2):
             return 2.2
+    if any(full == y and len(f) > 2 and within(x, f, 1) for f, full in SHORT_WORDS.items()):
+        return 1.3
     short = next((f for f in SHORT_NAMES.get(y, "").split() if len(f) > 3 and within(x, f, 1)), None)
     return 1.5 if short else None
 
@@ -119,18 +121,25 @@ def explain(spelling: str, act: str) -> float | None:
         return 0.0
     want = name_tokens(act)
     have: list[str] = []
-    for s in name_tokens(spelling):
+    todo = name_tokens(spelling)[::-1]
+    while todo:  # a token that begins or ends with a whole word of the entry is taken apart there
+        s = todo.pop()
         x, rest = bare(s), None
         for a in sorted(want, key=len, reverse=True):
             y = bare(a)
-            if len(x) > len(y) > 2 and bare(a) != x and not (len(x) - len(y) == 1):
+            if len(x) > len(y) + 1 and len(y) > 2:
                 if x.startswith(y):
                     rest = [s[: len(y)], s[len(y) :]] if len(s) == len(x) else [a, x[len(y) :]]
                 elif x.endswith(y):
                     rest = [s[: -len(y)], s[-len(y) :]] if len(s) == len(x) else [x[: -len(y)], a]
                 if rest:
                     break
-        have += [t for t in rest if t not in EMPTY_WORDS] if rest else [s]
+        if rest is None and x.startswith("the") and len(x) > 6 and any(within(x[3:], bare(a), 1) for a in want):
+            rest = [s[3:]]
+        if rest:
+            todo += [t for t in rest[::-1] if t not in EMPTY_WORDS]
+        else:
+            have.append(s)
     joined = 0.2 if len(have) != len(name_tokens(spelling)) else 0.0
     # words of the register entry that the spelling runs together or tears apart
     if len(have) != len(want) and "".join(map(bare, have)) == "".join(map(bare, want)):
