@@ -95,14 +95,15 @@ def roots(links: DataFrame, index: str, pointer: str, payload: Sequence[str] = (
     round is checkpointed, so neither the plan nor what a lost executor costs grows.
     """
     payload = list(payload)
-    now = cut(links.select(index, pointer, *payload))
+    base = cut(links.select(index, pointer, *payload))
+    now = base.select(index, pointer)  # only the pointers go through the rounds
     while True:
         ahead = now.select(F.col(index).alias("__at"), F.col(pointer).alias("__to"))
-        now = cut(now.join(ahead, F.col(pointer) == F.col("__at"), "left").select(index, F.coalesce("__to", pointer).alias(pointer), *payload, F.col("__to").isNotNull().alias("__moved")))
+        now = cut(now.join(ahead, F.col(pointer) == F.col("__at"), "left").select(index, F.coalesce("__to", pointer).alias(pointer), F.col("__to").isNotNull().alias("__moved")))
         moved = not now.where("__moved").isEmpty()
         now = now.drop("__moved")
         if not moved:
-            return now
+            return base.drop(pointer).join(now, index) if payload else now
 
 
 def collapse_runs(df: DataFrame, entity: str, start: str, key: str, text: str, end: str | None = None, same: Callable[[str, str], bool] = same_line) -> DataFrame:
