@@ -24,9 +24,10 @@ class OrderedScan:
     shuffle with the same borders, so the passes agree even when executors are lost.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str | Column], partitions: int | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str | Column], partitions: int | None = None, ties: Sequence[str | Column] = ()):
+        """``ties`` order rows of equal keys, which always share a partition, so that a recomputed block equals the lost one."""
         ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-        self.df = ranged.sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY)
+        self.df = ranged.sortWithinPartitions(*keys, *ties).persist(StorageLevel.DISK_ONLY)
 
     def summaries(self, summarise: Callable[[Iterator[pa.RecordBatch]], dict[str, Any] | None], schema: str) -> dict[int, dict[str, Any]]:
         """First pass. One row for each partition that isn't empty, by partition number."""
