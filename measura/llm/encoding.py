@@ -140,7 +140,7 @@ def _wide(text: str, chains: Sequence[tuple[str, str]]) -> str | None:
             out = _RUN.sub(fix, text)
             if out != text and len(out) < len(text):
                 return out
-        elif true in ("cp932", "euc_jp") and len(text) > 1:
+        elif true in ("cp932", "euc_jp") and len(text) > 1 and oddness(text):
             out = undo(text, wrong, true)
             if out is not None and len(out) < len(text):
                 new = [c for c in out if c > "\x7f"]
@@ -175,6 +175,24 @@ def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, boo
     return out, changed, readings
 
 
+def likely_line(text: str, wide: Sequence[tuple[str, str]], narrow: Sequence[tuple[str, str]]) -> str:
+    """``text`` as it most likely should read, judged by the line alone: for uses that can do without the corpus."""
+
+    def strange(t: str) -> int:
+        letters = sum(map(str.isalpha, t))
+        return oddness(t) + 3 * (letters > 3 and sum("\xbf" < c < "\u0180" for c in t) * 2 > letters)
+
+    if not strange(text):
+        return text
+    out = restore_line(text, wide)[0]
+    best = (strange(out), out)
+    for wrong, true in narrow if best[0] else ():
+        read = _WORD.sub(lambda m, wrong=wrong, true=true: m[0] if m[0].isascii() else undo(m[0], wrong, true) or m[0], out)
+        if read != out and _plausible(read):
+            best = min(best, (strange(read), read), key=lambda x: x[0])
+    return best[1]
+
+
 _PAIRS = T.StructType([T.StructField("skeleton", T.StringType()), T.StructField("odd", T.IntegerType()), T.StructField("other", T.IntegerType())])
 
 

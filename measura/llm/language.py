@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measura.llm.encoding import TRUE_WIDE, WRONG, oddness, restore_line
+from measura.llm.encoding import TRUE_WIDE, WRONG, likely_line
 from measura.llm.runs import INTERJECTIONS, line_key
 from measura.llm.unify import folded
 
@@ -36,6 +36,7 @@ NO_LANGUAGE = frozenset("und mul zxx mis qaa xx xxx n/a na none null unknown aut
 VOCABLES = INTERJECTIONS | frozenset("do du di dam dum dom ba ban bap bop bom bam be bi bo sha shu sh ra ri ro ta ti tu tra tri tata ti lala nana dada doba u uo uh o e i lo li le ne no nah nanana lalala hm tk ts".split())
 #: chains that undo the usual wrong decodings of a line before its language is read
 _CHAINS = tuple((w, t) for t in TRUE_WIDE for w in WRONG)
+_NARROW = (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1250"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"))
 
 _BRACKETED = re.compile(r"\[[^\]]*\]|\([^)]*\)|\*[^*]*\*")
 
@@ -52,8 +53,8 @@ def label_code(label: str | Column) -> Column:
 @lru_cache(50_000)
 def line_text(line: str) -> str:
     """The words of a line in the form the network reads; empty if it holds no words of a language."""
-    if not line.isascii() and oddness(line):
-        line = restore_line(line, _CHAINS)[0]
+    if not line.isascii():
+        line = likely_line(line, _CHAINS, _NARROW)
     line = _BRACKETED.sub(" ", line)
     words = re.findall(r"[^\W\d_]+", folded(line))
     if not line_key(line)[0] or all(re.sub(r"(.)\1+", r"\1", w) in VOCABLES for w in words):

@@ -119,7 +119,7 @@ def collapse_runs(df: DataFrame, entity: str, start: str, key: str, text: str, e
     kept = df.where(F.col(entity).isNotNull() & F.col(key).isNotNull() & F.col(start).isNotNull() & ~F.isnan(start) & (F.trim(F.regexp_replace(F.col(text), r"[\p{Z}\s\p{Cf}]", "")) != ""))
     until = F.col(end) if end else F.col(start)
     rows = kept.select(F.col(entity).cast("long").alias("e"), F.col(start).cast("double").alias("s"), F.col(key).cast("long").alias("k"), F.when(until > F.col(start), F.nanvl(until, F.col(start))).otherwise(F.col(start)).cast("double").alias("u"), F.col(text).alias("t"))
-    scan = OrderedScan(rows, ["e", "s", "k"])
+    scan = OrderedScan(rows, ["e", "s", "k"], ties=["u", "t"])
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         last = None
