@@ -177,7 +177,7 @@ def b7_runaway_repetition(spark, d):
 
 def s7_watermark(spark, d, delay_s: int = 3600):
     """Events of each type by whether they are final behind the watermark of their arrival (latest time so far less an hour)."""
-    e = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = table(spark, d, "events").select("event_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"))
     w = W.partitionBy("event_type").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
     late = F.col("us") < F.max("us").over(w) - delay_s * 1_000_000
     return e.withColumn("late", late).groupBy("event_type").agg(F.count("*").alias("events"), F.count_if("late").alias("late"))
