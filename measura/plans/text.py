@@ -97,8 +97,9 @@ def h4_tokens(spark, d):
 
 
 def _pairs(spark, d):
+    """Each cue with text and the text of the cue before it, in any script."""
     w = W.partitionBy("attempt_id").orderBy("cue_id")
-    c = _cues(spark, d).where(F.col("text").rlike(r"^[\x20-\x7E]+$")).withColumn("before", F.lag("text").over(w))
+    c = _cues(spark, d).withColumn("before", F.lag("text").over(w))
     return c.where("before IS NOT NULL")
 
 
