@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from measura.operators import sequences as S
 from measura.plans.notes import CHORDS_SQL, chords, grouped
 from measura.session import table
-from measura.sources.bind import CUES_SQL, WORDS_SQL, load_cues, load_words
+from measura.sources.bind import CUES_SQL, WORDS_SQL, finite, load_cues, load_words
 
 _CUE_ORDER = ("start", "end", "cue_id")
 
@@ -162,10 +162,13 @@ def a32_order_violations(spark, d):
     return load_cues(spark, d).withColumn("back", F.lag("start").over(w) > F.col("start")).groupBy("attempt_id").agg(F.count_if("back").alias("violations"))
 
 
-def b4_clean_cues(spark, d, duration: float = 120.0):
-    """Cues clipped to a duration: starts from 0, ends at least 0.05 s later, none from the duration on."""
-    c = load_cues(spark, d).select("cue_id", F.greatest(F.col("start"), F.lit(0.0)).alias("start"), "end")
-    return c.select("cue_id", "start", F.least(F.greatest("end", F.col("start") + F.lit(0.05)), F.lit(duration)).alias("end")).where(F.col("start") < duration)
+def b4_clean_cues(spark, d):
+    """Cues clipped to the duration of their song, where it is known: starts from 0, ends at least 0.05 s later, none from the duration on."""
+    songs = table(spark, d, "attempts").groupBy("attempt_id").agg(F.min("song_id").alias("song_id"))
+    known = table(spark, d, "media_metadata").where(finite("duration") & (F.col("duration") > 0)).groupBy("song_id").agg(F.max("duration").alias("duration"))
+    c = load_cues(spark, d).join(songs.join(known, "song_id"), "attempt_id", "left").select("cue_id", F.greatest(F.col("start"), F.lit(0.0)).alias("start"), "end", "duration")
+    inside = c.where("duration IS NULL OR start < duration")
+    return inside.select("cue_id", "start", F.least(F.greatest("end", F.col("start") + F.lit(0.05)), "duration").alias("end"))
 
 
 def b7_runaway_repetition(spark, d):

@@ -47,3 +47,14 @@ def test_pairs_hold_lines_of_all_scripts(spark, tables):
             mask |= 1 << ord(c) % 63
         assert got["h8_letter_mask"][i].mask == mask
     assert [i for i, r in got["h10_line_rules"].items() if r.extends] == [4]
+
+
+def test_cues_are_clipped_to_their_own_song(spark, tables):
+    cues = [(1, 1, 10.0, 12.0), (2, 1, 150.0, 190.0), (3, 1, 180.0, 185.0), (4, 2, 70.0, 75.0), (5, 2, 59.0, 63.0), (6, 3, 500.0, 501.0), (7, 4, 500.0, 500.01), (8, 9, 130.0, 131.0)]
+    d = tables(
+        raw_cues=(CUES, [(*c, "la", -0.1) for c in cues]),
+        attempts=("attempt_id long, song_id long", [(1, 1), (1, 1), (2, 2), (3, 3), (4, 4)]),
+        media_metadata=("song_id long, duration double", [(1, 180.0), (1, 180.0), (2, 60.0), (3, None), (4, 0.0)]),
+    )
+    got = {r.cue_id: (r.start, r.end) for r in QUERIES["b4_clean_cues"](spark, d).collect()}
+    assert got == {1: (10.0, 12.0), 2: (150.0, 180.0), 5: (59.0, 60.0), 6: (500.0, 501.0), 7: (500.0, 500.05), 8: (130.0, 131.0)}
