@@ -33,7 +33,7 @@ def e5_trim_holds(spark, d):
 def e6_cap_runs(spark, d):
     """Cues without the tail of runs of more than twelve equal lower-case lines."""
     c = load_cues(spark, d).withColumn("fold", F.lower(F.trim("text")))
-    return S.cap_runs(c, "attempt_id", _CUE_ORDER, "fold", 3).select("cue_id", "attempt_id")
+    return S.cap_runs(c, "attempt_id", _CUE_ORDER, "fold").select("cue_id", "attempt_id")
 
 
 def e7_min_display(spark, d):

@@ -58,3 +58,9 @@ def test_cues_are_clipped_to_their_own_song(spark, tables):
     )
     got = {r.cue_id: (r.start, r.end) for r in QUERIES["b4_clean_cues"](spark, d).collect()}
     assert got == {1: (10.0, 12.0), 2: (150.0, 180.0), 5: (59.0, 60.0), 6: (500.0, 501.0), 7: (500.0, 500.05), 8: (130.0, 131.0)}
+
+
+def test_twelve_of_a_run_are_kept(spark, tables):
+    texts = ["La la"] * 15 + ["so", "La la", " la LA "]
+    d = tables(raw_cues=(CUES, [(i, 1, float(i), i + 1.0, t, -0.1) for i, t in enumerate(texts)]))
+    assert sorted(r.cue_id for r in QUERIES["e6_cap_runs"](spark, d).collect()) == [*range(12), 15, 16, 17]
