@@ -52,3 +52,26 @@ class OrderedScan:
             yield from scan(TaskContext.get().partitionId(), batches)
 
         return self.df.mapInArrow(one, schema)
+
+
+def numbered(df: DataFrame, keys: Sequence[str | Column], key: str, name: str) -> DataFrame:
+    """(key, name): the place of each row, from 1, in the global order of ``keys``, which must tell all rows apart."""
+    scan = OrderedScan(df, keys)
+    place = df.columns.index(key)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> dict[str, Any] | None:
+        n = sum(b.num_rows for b in batches)
+        return {"n": n} if n else None
+
+    offsets, before = {}, 0
+    for pid, part in scan.summaries(count, "n long").items():
+        offsets[pid] = before
+        before += part["n"]
+
+    def number(pid: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = offsets.get(pid, 0)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(place), pa.array(range(at + 1, at + b.num_rows + 1), pa.int64())], names=[key, name])
+            at += b.num_rows
+
+    return scan.rescan(number, f"{key} {dict(df.dtypes)[key]}, {name} long")

@@ -10,6 +10,7 @@ from measura.operators import ledger as L
 from measura.operators import notes as N
 from measura.plans.notes import NOTES_SQL, SELECTED_SQL, TUNING_SQL, selected
 from measura.plans.text import _ISLRC, _LY
+from measura.operators.rangescan import numbered
 from measura.session import table
 from measura.sources import timed_text as P
 from measura.sources.bind import CUES_SQL, load_cues, load_notes
@@ -94,8 +95,7 @@ def a28_metadata(spark, d):
 def a35_library(spark, d):
     """Songs in the order of the library: the latest scan first, then the id."""
     m = table(spark, d, "media_metadata").groupBy("song_id").agg(F.max("scanned_at").alias("at"))
-    w = W.partitionBy(F.col("song_id") % 64).orderBy(F.desc("at"), "song_id")
-    return m.select("song_id", F.row_number().over(w).cast("long").alias("place"))
+    return numbered(m.select("song_id", "at"), [F.desc("at"), F.asc("song_id")], "song_id", "place")
 
 
 def a6_durations(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from test_operators import _slow_distance
 
@@ -64,3 +67,12 @@ def test_twelve_of_a_run_are_kept(spark, tables):
     texts = ["La la"] * 15 + ["so", "La la", " la LA "]
     d = tables(raw_cues=(CUES, [(i, 1, float(i), i + 1.0, t, -0.1) for i, t in enumerate(texts)]))
     assert sorted(r.cue_id for r in QUERIES["e6_cap_runs"](spark, d).collect()) == [*range(12), 15, 16, 17]
+
+
+def test_library_places_are_global(spark, tables):
+    rng = random.Random(5)
+    seen = [(i, datetime(2025, 1, 1) + timedelta(hours=rng.randrange(40))) for i in range(1, 301)] + [(301, None)]
+    d = tables(media_metadata=("song_id long, scanned_at timestamp", [*seen, (7, datetime(2026, 1, 1))]))
+    latest = {**dict(seen), 7: datetime(2026, 1, 1)}
+    order = sorted(latest, key=lambda i: (latest[i] is None, -latest[i].timestamp() if latest[i] else 0, i))
+    assert {r.song_id: r.place for r in QUERIES["a35_library"](spark, d).collect()} == {i: n for n, i in enumerate(order, 1)}
