@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from measura.llm.encoding import garbled_fields
 from measura.llm.names import link_names
-from measura.llm.q_repair import KEYS, media_fields
-from measura.session import cut, table
+from measura.llm.q_repair import garbled_media
+from measura.session import table
 
 
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(song_id, artist, artist_id, cost) of each song whose artist means a registered act; cost 0 is the registered spelling."""
     media = table(spark, sf_dir, "media_metadata").select("song_id", "artist").where("artist <> ''").dropDuplicates(["song_id"])
-    mended = cut(garbled_fields(media_fields(spark, sf_dir), KEYS, "text").where("field_name = 'artist'").select(F.col("rec_id").alias("song_id"), "restored"))
+    mended = garbled_media(spark, sf_dir).where("field_name = 'artist'").select(F.col("rec_id").alias("song_id"), "restored")
     media = media.join(mended, "song_id", "left").withColumn("meant", F.coalesce("restored", "artist"))
     links = link_names(media, "meant", table(spark, sf_dir, "artist_registry"), "artist_id", "act_name")
     return media.join(links, media["meant"] == links["original"]).select("song_id", "artist", "artist_id", "cost")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from measura.llm.encoding import garbled_fields
 from measura.llm.unify import unify
-from measura.session import table
+from measura.session import cut, table
 
 KEYS = ["rec_kind", "rec_id", "field_name"]
 
@@ -35,12 +35,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_restored(spark, sf_dir).select(*KEYS)
 
 
+def garbled_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(KEYS, restored) of the titles and artists that problem 1 lists; lyrics give it votes and words, so they are read with them."""
+    return cut(p1_restored(spark, sf_dir).where("rec_kind = 'media'").select(*KEYS, "restored"))
+
+
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field that isn't in the consistent form, with its text in that form; garbled fields are left to problem 1."""
-    media = media_fields(spark, sf_dir)
-    fields = media.unionByName(_field(table(spark, sf_dir, "raw_cues"), "cue", "cue_id", "text"))
-    garbled = garbled_fields(media, KEYS, "text").select(*KEYS)
-    return unify(fields, KEYS, "text").join(garbled, KEYS, "left_anti")
+    fields = media_fields(spark, sf_dir).unionByName(_field(table(spark, sf_dir, "raw_cues"), "cue", "cue_id", "text"))
+    return unify(fields, KEYS, "text").join(garbled_media(spark, sf_dir).select(*KEYS), KEYS, "left_anti")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

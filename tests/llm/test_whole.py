@@ -1,0 +1,26 @@
+"""Queries that once left part of their input out, over small tables that hold such rows."""
+
+from __future__ import annotations
+
+from measura.llm.q_names import p6_links
+from measura.llm.q_repair import p1_found, p2_found
+
+
+def test_lyrics_tell_which_titles_are_garbled(spark, tmp_path):
+    garbled = lambda t: t.encode().decode("cp1252")
+    title, act = "Voilà la rivière perdue", "Zéphyr À Grenoble"
+    sheets = ["Où est le café bleu de la rivière", "Voilà le théâtre près de la fenêtre", "La forêt brûlée derrière le château", "Le garçon préféré rêve déjà là"]
+    lyrics = [t for s in sheets for t in (s, s, garbled(s))]
+    tables = {
+        "media_metadata": ("song_id long, title string, artist string", [(1, garbled(title), garbled(act)), (2, "Plain Road", "Some Band")]),
+        "embedded_lyrics": ("lyrics_id long, text string", list(enumerate(lyrics))),
+        "raw_cues": ("cue_id long, text string", [(1, "a plain line")]),
+        "artist_registry": ("artist_id long, act_name string", [(10, act), (11, "Some Band")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    media = {(r.rec_id, r.field_name) for r in p1_found(spark, d).where("rec_kind = 'media'").collect()}
+    assert media == {(1, "title"), (1, "artist")}
+    assert p2_found(spark, d).count() == 0
+    assert {(r.song_id, r.artist_id) for r in p6_links(spark, d).collect()} == {(1, 10), (2, 11)}
