@@ -24,8 +24,8 @@ from measura.llm.unify import folded
 
 #: labelled documents that the model is fitted on at most (half of each verdict where there are enough)
 MAX_LABELLED = 6000
-#: characters of one labelled document that the fit uses at most; scoring always reads whole texts
-MAX_FIT_CHARS = 6000
+#: sentences from which on those of a document share its weight in the fit
+FULL_SENTENCES = 60
 BITS = 18
 #: weight of the counterfactual penalty
 SWAP_PENALTY = 0.3
@@ -182,7 +182,7 @@ class AbuseModel:
         owner: list[int] = []
         which: list[int] = []
         for d, t in enumerate(texts):
-            for s in dict.fromkeys(sentences(t[:MAX_FIT_CHARS])):
+            for s in dict.fromkeys(sentences(t)):
                 if w := tuple(words(s)):
                     owner.append(d)
                     which.append(index.setdefault(w, len(index)))
@@ -194,11 +194,12 @@ class AbuseModel:
         every = [slots(t) for t in tokens]
         rows = _Rows(every)
         label = y[own]
+        part = np.minimum(1.0, FULL_SENTENCES / np.maximum(np.bincount(own, minlength=len(y)), 1))[own]  # a long document has no more say than one of that many sentences
         clean = np.bincount(at, label == 0, len(tokens))  # documents without a flag that hold the sentence
-        flagged = np.bincount(at, label == 1, len(tokens))
-        hits = np.bincount(rows.at, flagged[rows.owner], 1 << BITS)
-        total = np.bincount(rows.at, (flagged + clean)[rows.owner], 1 << BITS)
-        prior = label.mean()
+        share_flagged, share_all = np.bincount(at, part * label, len(tokens)), np.bincount(at, part, len(tokens))
+        hits = np.bincount(rows.at, share_flagged[rows.owner], 1 << BITS)
+        total = np.bincount(rows.at, share_all[rows.owner], 1 << BITS)
+        prior = np.average(label, weights=part)
         odds = np.log((hits + prior) / (total - hits + 1 - prior)) - np.log(prior / (1 - prior))
         score = rows.dot(odds)  # first guess: words that stand mostly in flagged documents
         # boilerplate of documents flagged by mistake holds no feature that flagged documents own
@@ -217,6 +218,7 @@ class AbuseModel:
             guilty = np.zeros(len(tokens))
             np.add.at(guilty, at[in_flagged], 1.0)
             guilty[clean >= np.maximum(guilty, 1)] = 0.0  # the sentence itself stands in as many unflagged documents
+            mass = np.where(guilty > 0, np.bincount(at[in_flagged], part[in_flagged], len(tokens)), 0.0)
             # sentences of unflagged documents: the ones that look worst, and some of the rest
             order = np.lexsort((-score[at], own))
             place = np.arange(len(order)) - np.r_[0, np.flatnonzero(np.diff(own[order])) + 1][np.cumsum(np.r_[0, np.diff(own[order]) != 0])]
@@ -227,7 +229,7 @@ class AbuseModel:
             sub = _Rows([every[i] for i in use])
             pairs = [(k, s) for k, i in enumerate(use) for s in _swaps(list(tokens[i]), rng)]
             swapped, source = _Rows([slots(s) for _, s in pairs]), np.array([k for k, _ in pairs], np.int64)
-            pos, neg = guilty[use], np.minimum(clean[use], 10.0)
+            pos, neg = mass[use], np.minimum(clean[use], 10.0)
             pos = pos * (neg.sum() / max(1.0, pos.sum()) * 0.3)
             whole = (pos + neg).sum()
             for _ in range(steps):
@@ -297,12 +299,21 @@ class AbuseModel:
         return score
 
 
+@F.arrow_udf(T.StringType())
+def _distinct_sentences(texts: pa.Array) -> pa.Array:
+    """Each text with its sentences on lines of their own, once each; what stands in front of them is left for ``sentences``."""
+    return pa.array(["\n".join(dict.fromkeys(filter(None, map(str.strip, _SENTENCE.split(t))))) for t in texts.to_pylist()], pa.string())
+
+
 def labelled(documents: DataFrame, verdicts: DataFrame, key: str = "doc_id", text: str = "text", verdict: str = "verdict", most: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """(text, verdict) of at most ``most`` documents whose verdicts agree, in a fixed order of hashes; undecided ones are left out."""
+    """(distinct sentences, verdict) of at most ``most`` documents whose verdicts agree, in a fixed order of hashes; undecided ones are left out.
+
+    Whole texts are split on the executors; the driver gets each sentence of a document once.
+    """
     said = verdicts.where(F.col(verdict).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(verdict).alias("low"), F.max(verdict).alias("high")).where("low = high")
-    rows = said.join(documents.select(key, F.substring(text, 1, MAX_FIT_CHARS).alias("__text")).where("__text <> ''"), key).withColumn("__h", F.xxhash64(key))
+    rows = said.join(documents.select(key, F.col(text).alias("__text")).where("__text <> ''"), key).withColumn("__h", F.xxhash64(key))
     parts = [rows.where(F.col("high") == v).orderBy("__h", key).limit(most // 2).select("__text", "high") for v in (0, 1)]
-    return [(r[0], int(r[1])) for r in parts[0].unionByName(parts[1]).collect()]
+    return [(r[0], int(r[1])) for r in parts[0].unionByName(parts[1]).select(_distinct_sentences("__text"), "high").collect()]
 
 
 def abuse_scores(documents: DataFrame, model: AbuseModel, text: str | Column = "text") -> Column:
