@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Gap and match scores, the least similarity of a pair, limits, and the grades.
 GAP, MATCH_SCALE, LEAST_SIMILARITY, COMPARED = -0.6, 4.4, 0.5, 32
@@ -62,7 +63,7 @@ def similarities(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     return out
 
 
-def align(reference: Sequence[str], hypothesis: Sequence[str]) -> list[tuple[int, int]]:
+def align(reference: Sequence[str], hypothesis: Sequence[str], similar: Callable[[Sequence[str], Sequence[str]], np.ndarray] = similarities) -> list[tuple[int, int]]:
     """Pairs of the best global alignment; a match wins a tie over a skipped reference token, that over a skipped hypothesis token."""
     rows, columns = len(reference), len(hypothesis)
     if not rows or not columns:
@@ -70,7 +71,7 @@ def align(reference: Sequence[str], hypothesis: Sequence[str]) -> list[tuple[int
     if max(rows, columns) > MOST_TOKENS or rows * columns > MOST_CELLS:
         raise ValueError("too long to align")
     left, right = sorted(set(reference)), sorted(set(hypothesis))
-    sim = similarities(left, right)
+    sim = similar(left, right)
     gap = round(GAP * _SCALE)
     score = np.where(sim > 0, np.rint((2 * GAP + MATCH_SCALE * (sim - 0.5)) * _SCALE), 4 * gap).astype(np.int64)
     at = {w: k for k, w in enumerate(right)}
@@ -108,11 +109,17 @@ def grade(matched: float, displacement: float, run: int) -> str:
     return "good" if matched >= 0.85 and displacement <= 0.5 and run <= 8 else "fair"
 
 
+def timed_tokens(words: Sequence[tuple[float, float, str]]) -> list[tuple[float, float, str]]:
+    return [(s, e, t) for s, e, w in sorted(words) for t in tokens_of(w)]
+
+
 def report(reference: str, words: Sequence[tuple[float, float, str]]) -> dict:
     """Figures of aligning a text with timed words: fractions, longest unmatched run, worst displacement and grade."""
-    ref = tokens_of(reference)
-    hyp = [(s, e, t) for s, e, w in sorted(words) for t in tokens_of(w)]
-    pairs = align(ref, [t for _, _, t in hyp])
+    return token_report(tokens_of(reference), timed_tokens(words))
+
+
+def token_report(ref: Sequence[str], hyp: Sequence[tuple[float, float, str]], similar: Callable[[Sequence[str], Sequence[str]], np.ndarray] = similarities) -> dict:
+    pairs = align(ref, [t for _, _, t in hyp], similar)
     hit = {r: c for r, c in pairs}
     exact = sum(ref[r] == hyp[c][2] for r, c in pairs)
     run = longest = 0
@@ -151,3 +158,53 @@ def align_documents(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame([{key: k[0], **out}]).reindex(columns=columns)
 
     return texts.groupBy(key).cogroup(words.groupBy(key)).applyInPandas(one, f"{key} {kind}, {REPORT}")
+
+
+#: texts and recordings of a key that one group aligns with each other at most, and the word pairs it compares at once
+BLOCK, MOST_COMPARED = 64, 4_000_000
+
+
+def _shared(left: Sequence[Sequence[str]], right: Sequence[Sequence[str]]) -> Callable[[Sequence[str], Sequence[str]], np.ndarray]:
+    """``similarities`` for parts of these vocabularies, computed once where they are small enough."""
+    a, b = (sorted({w for t in side if len(t) <= MOST_TOKENS for w in t}) for side in (left, right))
+    if not a or not b or len(a) * len(b) > MOST_COMPARED:
+        return similarities
+    step = max(1, 200_000 // len(b))
+    whole = np.vstack([similarities(a[i : i + step], b) for i in range(0, len(a), step)])
+    at, to = ({w: k for k, w in enumerate(x)} for x in (a, b))
+    return lambda x, y: whole[np.ix_([at[w] for w in x], [to[w] for w in y])]
+
+
+def align_all(texts: DataFrame, recordings: DataFrame, key: str, text_id: str, recording_id: str) -> DataFrame:
+    """A report for each text of a key with each recording of the key; grade ``refused`` beyond the limits.
+
+    ``texts`` is (key, text_id, text), ``recordings`` (key, recording_id, words: array of (start, end, word)), ids unique. The
+    pairs of a key are spread over groups of ``BLOCK`` by ``BLOCK``, so a key may hold any share of the rows; their
+    number is the product of both sides, which is what is asked for.
+    """
+    kinds = {**dict(texts.dtypes), **dict(recordings.dtypes)}
+    ids = [key, text_id, recording_id]
+    columns = [*ids, *(c.split()[0] for c in REPORT.split(", "))]
+    blocks = lambda df: F.ceil(F.count("*") / BLOCK).cast("int")
+    grid = texts.groupBy(key).agg(blocks(texts).alias("__m")).join(recordings.groupBy(key).agg(blocks(recordings).alias("__n")), key)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = texts.join(grid, key).withColumn("__i", F.pmod(F.xxhash64(text_id), F.col("__m")).cast("int")).select(key, text_id, "text", "__i", upto("__n").alias("__j"))
+    right = recordings.join(grid, key).withColumn("__j", F.pmod(F.xxhash64(recording_id), F.col("__n")).cast("int")).select(key, recording_id, "words", "__j", upto("__m").alias("__i"))
+
+    def one(k, texts: pd.DataFrame, recordings: pd.DataFrame) -> pd.DataFrame:
+        refs = [(i, tokens_of(t)) for i, t in zip(texts[text_id], texts["text"], strict=True)]
+        hyps = [(i, timed_tokens([(w["start"], w["end"], w["word"]) for w in ws])) for i, ws in zip(recordings[recording_id], recordings["words"], strict=True)]
+        many = len(refs) * len(hyps) > 1
+        similar = _shared([t for _, t in refs], [[t for _, _, t in h] for _, h in hyps]) if many else similarities
+        out = []
+        for i, ref in refs:
+            for j, hyp in hyps:
+                try:
+                    figures = token_report(ref, hyp, similar)
+                except ValueError:
+                    figures = {"grade": "refused"}
+                out.append({key: k[0], text_id: i, recording_id: j, **figures})
+        return pd.DataFrame(out, columns=columns)
+
+    by = [key, "__i", "__j"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in ids) + f", {REPORT}")

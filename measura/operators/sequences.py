@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,3 +96,38 @@ def latched(df: DataFrame, key: str, order: str, label: str, silent: Column, hol
     since = F.min(order).over(W.partitionBy(key, "__quiet", "__isl"))
     shown = isl.withColumn("__since", since).where(F.col(order) - F.col("__since") >= hold)
     return shown.groupBy(key, "__quiet", "__isl", label).agg(F.min(order).alias("shown_at")).select(key, label, "shown_at")
+
+
+def better(kept: tuple, other: tuple) -> tuple[bool, str]:
+    """Whether ``other`` replaces the attempt kept so far, and why; both are (attempt, covered, score), covered null without cues."""
+    (_, p, s), (_, q, t) = kept, other
+    if q is None or p is None:
+        return q is not None, "empty"
+    if q < p * 0.6 or p < q * 0.6:
+        return q >= p * 0.6, "coverage"
+    if t > s + 0.05 or s > t + 0.05:
+        return t > s + 0.05, "score"
+    return False, "tie"
+
+
+def choose_attempts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(song, attempt, reason) of (song, attempt, covered, score) in the order of song and attempt; holds one attempt at a time."""
+    now: list | None = None  # song, attempt kept, reason
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["song_id", "attempt_id", "reason"])
+
+    for b in batches:
+        out = []
+        for song, *attempt in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if now is None or now[0] != song:
+                if now is not None:
+                    out.append((now[0], now[1][0], now[2]))
+                now = [song, attempt, "single"]
+            else:
+                replaced, now[2] = better(now[1], attempt)
+                now[1] = attempt if replaced else now[1]
+        if out:
+            yield batch(out)
+    if now is not None:
+        yield batch([(now[0], now[1][0], now[2])])

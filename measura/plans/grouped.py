@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from measura.functions import text as X
-from measura.operators.alignment import align_documents
+from measura.operators.alignment import align_all
 from measura.operators.captions import merge_captions
 from measura.operators.fingering import fingerings
 from measura.plans.notes import selected
@@ -20,11 +20,12 @@ def e20_fingering(spark, d):
 
 
 def j13_alignment(spark, d):
-    """Report of aligning the first sheet of each song with the words of its first attempt."""
-    sheets = table(spark, d, "embedded_lyrics").where(F.trim("text") != "").groupBy("song_id").agg(F.min_by(F.regexp_replace("text", r"\[[0-9:.]+\]", " "), "lyrics_id").alias("text"))
-    first = table(spark, d, "attempts").groupBy("song_id").agg(F.min("attempt_id").alias("attempt_id"))
-    words = load_cues(spark, d).join(first, "attempt_id").select("song_id", "start", "end", F.col("text").alias("word"))
-    return align_documents(sheets.join(first.select("song_id"), "song_id", "left_semi"), words, "song_id")
+    """Report of aligning each sheet of a song with the words of each of its attempts."""
+    sheets = table(spark, d, "embedded_lyrics").where(F.trim("text") != "").select("song_id", "lyrics_id", F.regexp_replace("text", r"\[[0-9:.]+\]", " ").alias("text")).dropDuplicates(["song_id", "lyrics_id"])
+    attempts = table(spark, d, "attempts").select("song_id", "attempt_id").distinct()
+    words = load_cues(spark, d).groupBy("attempt_id").agg(F.collect_list(F.struct("start", "end", F.col("text").alias("word"))).alias("words"))
+    heard = attempts.join(words, "attempt_id", "left").select("song_id", "attempt_id", F.coalesce("words", F.array().cast("array<struct<start:double,end:double,word:string>>")).alias("words"))
+    return align_all(sheets, heard, "song_id", "lyrics_id", "attempt_id")
 
 
 def e4_merged_captions(spark, d):

@@ -119,18 +119,13 @@ def d9_weighted_score(spark, d):
 
 
 def d10_choose_attempt(spark, d):
-    """Of the first two attempts of a song, the one to keep and why: empty, coverage, score, tie or single."""
+    """Of the attempts of a song, the one to keep and why: empty, coverage, score, tie or single.
+
+    In the order of their ids each attempt is held against the one kept so far; the reason is that of the last decision.
+    """
     a = table(spark, d, "attempts").select("attempt_id", "song_id").distinct().join(d9_weighted_score(spark, d), "attempt_id", "left")
-    a = a.withColumn("n", F.row_number().over(W.partitionBy("song_id").orderBy("attempt_id"))).where("n <= 2")
-    at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    p = a.groupBy("song_id").agg(at(1, "attempt_id").alias("p"), at(2, "attempt_id").alias("q"), at(1, "covered").alias("pc"), at(2, "covered").alias("qc"), at(1, "score").alias("ps"), at(2, "score").alias("qs"))
-    reason = (
-        F.when(F.col("q").isNull(), "single").when(F.col("qc").isNull(), "empty").when(F.col("pc").isNull(), "empty+")
-        .when(F.col("qc") < F.col("pc") * 0.6, "coverage").when(F.col("pc") < F.col("qc") * 0.6, "coverage+")
-        .when(F.col("qs") > F.col("ps") + 0.05, "score+").when(F.col("ps") > F.col("qs") + 0.05, "score").otherwise("tie")
-    )
-    out = p.withColumn("r", reason)
-    return out.select("song_id", F.when(F.col("r").endswith("+"), F.col("q")).otherwise(F.col("p")).alias("attempt_id"), F.rtrim(F.regexp_replace("r", r"\+$", "")).alias("reason"))
+    rows = a.select("song_id", "attempt_id", "covered", "score").repartition("song_id").sortWithinPartitions("song_id", "attempt_id")
+    return rows.mapInArrow(S.choose_attempts, "song_id long, attempt_id long, reason string")
 
 
 def d14_word_span(spark, d):

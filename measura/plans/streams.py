@@ -28,8 +28,8 @@ def stream_sessions(spark, d):
 
 
 def d12_grades(spark, d):
-    """How many songs align well, fairly or poorly, and how much of their text is matched."""
-    return j13_alignment(spark, d).groupBy("grade").agg(F.count("*").alias("songs"), F.round(F.avg("matched_fraction"), 4).alias("matched"))
+    """How many pairs of a sheet and an attempt of a song align well, fairly or poorly, and how much of their text is matched."""
+    return j13_alignment(spark, d).groupBy("grade").agg(F.count("*").alias("alignments"), F.round(F.avg("matched_fraction"), 4).alias("matched"))
 
 
 QUERIES = {f.__name__: f for f in (stream_density, stream_sessions, d12_grades)}

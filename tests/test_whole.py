@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from test_operators import _slow_distance
 
+from measura.operators import alignment as A
 from measura.plans import registry
 
 QUERIES = registry.collect()[0]
@@ -76,3 +77,30 @@ def test_library_places_are_global(spark, tables):
     latest = {**dict(seen), 7: datetime(2026, 1, 1)}
     order = sorted(latest, key=lambda i: (latest[i] is None, -latest[i].timestamp() if latest[i] else 0, i))
     assert {r.song_id: r.place for r in QUERIES["a35_library"](spark, d).collect()} == {i: n for n, i in enumerate(order, 1)}
+
+
+def test_every_sheet_meets_every_attempt(spark, tables):
+    sheets = [(1, 1, "the river runs past the tin roof"), (2, 1, "[00:01.00] a paper kite in the sun"), (3, 2, "le café bleu"), (4, 3, "nobody sang this"), (5, 1, " ")]
+    cues = [(1, 11, 0.0, 1.0, "the rivers run"), (2, 11, 1.0, 2.0, "past a tin roof"), (3, 12, 0.0, 2.0, "paper kites in the sun"), (4, 21, 0.0, 1.0, "le café")]
+    attempts = [(11, 1), (12, 1), (12, 1), (13, 1), (21, 2), (41, 4)]
+    many = 70  # more than one block on either side
+    sheets += [(100 + i, 5, f"the tin roof number {i}") for i in range(many)]
+    attempts += [(100 + i, 5) for i in range(many)]
+    cues += [(100 + i, 100 + i, 0.0, 1.0, f"a tin proof number {i}") for i in range(many)]
+    d = tables(embedded_lyrics=("lyrics_id long, song_id long, text string", [*sheets, sheets[0]]), attempts=("attempt_id long, song_id long", attempts), raw_cues=(CUES, [(*c, -0.1) for c in cues]))
+    got = {(r.lyrics_id, r.attempt_id): (r.song_id, r.tokens, r.heard, r.matched, r.exact, r.grade) for r in QUERIES["j13_alignment"](spark, d).collect()}
+    want = {}
+    for lyrics, song, text in sheets:
+        for attempt in {a for a, s in attempts if s == song and text.strip()}:
+            r = A.report(text.replace("[00:01.00]", " "), [c[2:] for c in cues if c[1] == attempt])
+            want[lyrics, attempt] = (song, *(r[c] for c in ("tokens", "heard", "matched", "exact", "grade")))
+    assert got == want and len(got) == 7 + many * many
+    assert sum(r.alignments for r in QUERIES["d12_grades"](spark, d).collect()) == len(got)
+
+
+def test_the_best_of_all_attempts_is_kept(spark, tables):
+    spans = {1: (10.0, -0.5), 2: (9.0, -0.5), 3: (9.5, -0.3), 4: (30.0, -0.9), 5: (29.0, -0.87), 7: (4.0, -0.1), 8: (4.0, -0.2)}
+    songs = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 3, 9: 4}
+    d = tables(attempts=("attempt_id long, song_id long", list(songs.items())), raw_cues=(CUES, [(a, a, 0.0, s, "la", p) for a, (s, p) in spans.items()]))
+    got = {r.song_id: (r.attempt_id, r.reason) for r in QUERIES["d10_choose_attempt"](spark, d).collect()}
+    assert got == {1: (4, "tie"), 2: (7, "empty"), 3: (8, "single"), 4: (9, "single")}
