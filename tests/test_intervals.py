@@ -53,3 +53,35 @@ def test_nulls_backward_and_empty(spark):
     rows = [("x", 1, None, 5), ("x", 2, 5, None), ("x", 3, 9, 2), ("x", None, 1, 2), ("x", 4, 1, 2)]
     assert run(spark, rows, 2) == set()
     assert run(spark, [], 2) == set()
+
+
+def _probe(spark, seed, partitions):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), i, s, s + rng.randrange(0, 9)) for i, s in enumerate(rng.choices(range(40_000), k=9_000))]
+    df = spark.createDataFrame(rows, "entity string, k long, a long, b long")
+    return periods_and_gaps(df, ["entity"], "a", "b", "k", partitions), brute(rows)
+
+
+def test_results_may_be_coalesced_unioned_and_joined(spark):
+    one, want = _probe(spark, 1, 6)
+    two, want_two = _probe(spark, 2, 5)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(one.coalesce(1)) == sorted(want)
+    assert rows(one.coalesce(4)) == sorted(want)
+    assert rows(one.union(two)) == sorted([*want, *want_two])
+    assert rows(two.union(one).coalesce(2)) == sorted([*want, *want_two])
+    names = spark.createDataFrame([("hot", 1), ("a", 2)], "entity string, x int")
+    assert rows(one.join(names, "entity").drop("x")) == sorted(r for r in want if r[0] in ("hot", "a"))
+    blocks = [i.id() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()]
+    for b in blocks:  # lost blocks are computed again with the same numbers
+        spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().removeRdd(b)
+    assert rows(one.union(two)) == sorted([*want, *want_two])
+
+
+def test_summaries_hold_for_a_scan_read_in_fewer_tasks(spark):
+    from measura.operators.rangescan import numbered
+
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", "hash(id) AS h")
+    want = {r[1]: n for n, r in enumerate(sorted((r.h, r.id) for r in df.collect()), 1)}
+    got = numbered(df, ["h", "id"], "id", "place")
+    assert {r.id: r.place for r in got.coalesce(1).collect()} == want
