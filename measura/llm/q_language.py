@@ -29,10 +29,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).dropDuplicates(KEYS)
 
 
-def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_kind, rec_id, item, lang, conf) of every line with words."""
+def p3_lines(spark: SparkSession, sf_dir: str, parts: bool = False) -> DataFrame:
+    """(rec_kind, rec_id, item, part, lang, conf, words) of every line with words."""
     net = trained(table(spark, sf_dir, "language_samples"))
-    return record_languages(record_lines(spark, sf_dir), net, KEYS, "item", "line")
+    return record_languages(record_lines(spark, sf_dir), net, KEYS, "item", "line", parts)
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stretch of consecutive lines of one language in a record: its language, confidence and number of lines."""
+    """Each stretch of consecutive words of one language in a record, over its lines and inside them: its language, confidence, lines and words."""
     order = table(spark, sf_dir, "raw_cues").select(F.lit("attempt").alias("rec_kind"), F.col("attempt_id").alias("rec_id"), F.col("cue_id").alias("item"), F.col("start_s").alias("at")).dropDuplicates([*KEYS, "item"])
-    lines = p3_lines(spark, sf_dir).join(order, [*KEYS, "item"], "left").withColumn("at", F.coalesce(F.nanvl("at", F.lit(None).cast("double")), F.lit(0.0)))
-    w = W.partitionBy(*KEYS).orderBy("at", "item")  # the lines of one record
+    lines = p3_lines(spark, sf_dir, parts=True).join(order, [*KEYS, "item"], "left").withColumn("at", F.coalesce(F.nanvl("at", F.lit(None).cast("double")), F.lit(0.0)))
+    w = W.partitionBy(*KEYS).orderBy("at", "item", "part")  # the lines of one record
     cut = F.coalesce((F.lag("lang").over(w) != F.col("lang")).cast("int"), F.lit(0))
     parts = lines.withColumn("cut", cut).withColumn("segment", F.sum("cut").over(w).cast("int"))
-    return parts.groupBy(*KEYS, "segment").agg(F.min("lang").alias("language_code"), F.round(F.avg("conf"), 4).alias("language_confidence"), F.count("*").alias("n_lines"), F.min_by("item", F.struct("at", "item")).alias("first_item"), F.max_by("item", F.struct("at", "item")).alias("last_item"))
+    sure = F.sum(F.col("conf") * F.col("words")) / F.sum("words")
+    return parts.groupBy(*KEYS, "segment").agg(F.min("lang").alias("language_code"), F.round(sure, 4).alias("language_confidence"), F.count_distinct("item").alias("n_lines"), F.sum("words").alias("n_words"), F.min_by("item", F.struct("at", "item")).alias("first_item"), F.max_by("item", F.struct("at", "item")).alias("last_item"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p3_segments": p3_segments}

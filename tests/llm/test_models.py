@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from measura.llm.abuse import AbuseModel, abuse_scores, labelled, sentences, words
-from measura.llm.language import BiGru, _padded, label_code, line_text, record_languages
+from measura.llm.language import BiGru, _padded, label_code, line_text, record_languages, stretches
 
 
 def test_gradient_against_differences():
@@ -48,6 +48,32 @@ def test_held_out_accuracy(net):
     assert right / len(held) >= 0.9
 
 
+def test_lines_are_read_whole_whatever_stands_beside_them(net):
+    model, held = net
+    texts = sorted((line_text(r.text).encode() for r in held[:12]), key=len, reverse=True)
+    logits, size = model.logits(texts)
+    x, mask = _padded(texts)
+    want = model.probabilities(x, mask)
+    e = np.exp(logits)
+    assert size.tolist() == [len(t) for t in texts]
+    assert np.abs((e / e.sum(2, keepdims=True) - want) * mask[:, :, None]).max() < 1e-4
+    long = " ".join(line_text(r.text) for r in held[:40] if r.language_code == "fr") * 60
+    q = model.lines(["", long, "x"])
+    assert model.codes[q[1].argmax()] == "fr" and q.shape[0] == 3
+
+
+def test_stretches_of_a_line(net):
+    model, held = net
+    one, other = (" ".join(next(line_text(r.text) for r in held if r.language_code == c).split()[:8]) for c in ("ru", "es"))
+    text = f"{one} {other}".encode()
+    (_, logs, _), = list(model.positions([text]))
+    got = stretches(logs[:, 0], text)
+    assert [model.codes[k] for k, _, _ in got] == ["ru", "es"] and sum(n for _, _, n in got) == 16
+    text = one.encode()
+    (_, logs, _), = list(model.positions([text]))
+    assert [(model.codes[k], n) for k, _, n in stretches(logs[:, 0], text)] == [("ru", 8)]
+
+
 def test_lines_without_words_and_labels(spark):
     assert [line_text(x) for x in ("[Music]", "la la la", "Oh oh!", "♪", "12:30", "")] == [""] * 6
     labels = ["en-US", "ENG", "es-419", "ger", "und", "??", "", None, "auto", "Deutsch", "pt_BR", "xx"]
