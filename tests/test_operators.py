@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from measura.functions import music as M
 from measura.functions import text as X
 from measura.operators import alignment as A
-from measura.operators import captions as C
 from measura.operators import interval_joins as J
 from measura.operators import notes as N
 from measura.operators.fingering import best_shapes, cheapest_path, shapes
@@ -139,12 +138,3 @@ def test_fingering_paths():
 
     every = [cost(p) for p in product(*(range(len(x)) for x in layers))]
     assert cost(cheapest_path(layers)) == pytest.approx(min(every))
-
-
-def test_captions_merge_to_a_fixed_point():
-    q = [C.Cue(0, 1, "we kept the"), C.Cue(1.1, 2, "paper kite"), C.Cue(2, 3, "Again we go"), C.Cue(9, 10, "Sing"), C.Cue(9, 11, "Sing it again")]
-    out = C.normalised(q)
-    assert [c.text for c in out] == ["we kept the paper kite", "Again we go", "Sing it again"]
-    assert C.normalised(out) == out
-    rolling = [C.Cue(0, 2, "just to have it"), C.Cue(2, 4, "to have it taken away")]
-    assert C.normalised(rolling)[0].text == "just to have it taken away"
