@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from measura.config import EngineConfig
 from measura.operators import interval_joins as J
 from measura.operators import ledger as L
 from measura.operators import notes as N
-from measura.operators.alignment import align_documents
+from measura.operators.alignment import align_pairs
 from measura.operators.fingering import fingerings
 
 
@@ -22,12 +24,19 @@ def infer_tab(notes: DataFrame, key: str = "run_id", config: EngineConfig | None
     c = config or EngineConfig()
     merged = N.restart_merge(notes.where(F.col("confidence") >= c.least_confidence), key)
     groups = N.onset_groups(merged, key).where(N.playable(F.col("pitch"), c.pitches(), c.max_fret))
-    return fingerings(N.strongest(groups, [key, "anchor"], c.max_polyphony), key, "anchor")
+    return fingerings(N.strongest(groups, [key, "anchor"], c.max_polyphony), key, "anchor", c.pitches(), c.max_fret)
+
+
+def tab_stats(notes: DataFrame, tab: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, notes, positions, omitted) of a tab inferred from ``notes``: positions and omitted notes add up to the notes."""
+    placed = tab.groupBy(key).agg(F.count("*").alias("positions"))
+    counted = notes.groupBy(key).agg(F.count("*").alias("notes")).join(placed, key, "left").withColumn("positions", F.coalesce("positions", F.lit(0)))
+    return counted.withColumn("omitted", F.col("notes") - F.col("positions"))
 
 
-def align_words(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """Report of aligning each text (key, text) with timed words (key, start, end, word)."""
-    return align_documents(texts, words, key)
+def align_words(pairs: DataFrame, keys: Sequence[str], text: str = "text", cues: str = "cues", duration: str | None = None, timed: bool = False) -> DataFrame:
+    """Report of aligning each text with the cues of a recording, or with ``timed`` its words with their times."""
+    return align_pairs(pairs, keys, text, cues, duration, timed)
 
 
 def state_at(probes: DataFrame, events: DataFrame, key: str, t: str = "t", start: str = "start", end: str = "end", event_id: str = "event_id") -> DataFrame:

@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Three-letter language codes by their two-letter form; lyric tag families; hosts; stock phrases' mark.
-LANGUAGE_ALIASES = {"ar": "ara", "cs": "ces cze", "da": "dan", "de": "deu ger", "el": "ell gre", "en": "eng", "es": "spa", "fi": "fin", "fr": "fra fre", "he": "heb", "hi": "hin", "hu": "hun", "id": "ind", "it": "ita", "ja": "jpn", "ko": "kor", "nl": "nld dut", "no": "nor", "pl": "pol", "pt": "por", "ro": "ron rum", "ru": "rus", "sv": "swe", "th": "tha", "tr": "tur", "uk": "ukr", "vi": "vie", "zh": "zho chi"}
+from measura.functions.speech import PART_NAMES, fold, number_words, tokens_of
+
+# Language codes; lyric tag families; hosts; marks of an ended and of a running line.
+#: ISO 639: each two-letter code with its three-letter code, and the bibliographic one where that differs
+ISO_639 = """
+aa aar, ab abk, ae ave, af afr, ak aka, am amh, an arg, ar ara, as asm, av ava, ay aym, az aze, ba bak, be bel, bg bul, bi bis,
+bm bam, bn ben, bo bod tib, br bre, bs bos, ca cat, ce che, ch cha, co cos, cr cre, cs ces cze, cu chu, cv chv, cy cym wel,
+da dan, de deu ger, dv div, dz dzo, ee ewe, el ell gre, en eng, eo epo, es spa, et est, eu eus baq, fa fas per, ff ful, fi fin,
+fj fij, fo fao, fr fra fre, fy fry, ga gle, gd gla, gl glg, gn grn, gu guj, gv glv, ha hau, he heb, hi hin, ho hmo, hr hrv,
+ht hat, hu hun, hy hye arm, hz her, ia ina, id ind, ie ile, ig ibo, ii iii, ik ipk, io ido, is isl ice, it ita, iu iku, ja jpn,
+jv jav, ka kat geo, kg kon, ki kik, kj kua, kk kaz, kl kal, km khm, kn kan, ko kor, kr kau, ks kas, ku kur, kv kom, kw cor,
+ky kir, la lat, lb ltz, lg lug, li lim, ln lin, lo lao, lt lit, lu lub, lv lav, mg mlg, mh mah, mi mri mao, mk mkd mac, ml mal,
+mn mon, mr mar, ms msa may, mt mlt, my mya bur, na nau, nb nob, nd nde, ne nep, ng ndo, nl nld dut, nn nno, no nor, nr nbl,
+nv nav, ny nya, oc oci, oj oji, om orm, or ori, os oss, pa pan, pi pli, pl pol, ps pus, pt por, qu que, rm roh, rn run,
+ro ron rum, ru rus, rw kin, sa san, sc srd, sd snd, se sme, sg sag, si sin, sk slk slo, sl slv, sm smo, sn sna, so som,
+sq sqi alb, sr srp, ss ssw, st sot, su sun, sv swe, sw swa, ta tam, te tel, tg tgk, th tha, ti tir, tk tuk, tl tgl, tn tsn,
+to ton, tr tur, ts tso, tt tat, tw twi, ty tah, ug uig, uk ukr, ur urd, uz uzb, ve ven, vi vie, vo vol, wa wln, wo wol, xh xho,
+yi yid, yo yor, za zha, zh zho chi, zu zul
+"""
+LANGUAGE_ALIASES = {two: " ".join(threes) for two, *threes in (entry.split() for entry in ISO_639.split(","))}
 TAG_FAMILIES = ("unsyncedlyrics", "syncedlyrics", "lyrics")
 VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be")
 SENTENCE_ENDS, CONTINUATIONS = ".!?…", ",-–—…;:"
@@ -29,12 +48,6 @@ def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def tokens(text: Column) -> Column:
-    """Comparison tokens: lower case, one apostrophe, ``&`` as "and", runs of letters, digits and apostrophes."""
-    low = F.replace(F.replace(F.lower(text), F.lit("’"), F.lit("'")), F.lit("&"), F.lit(" and "))
-    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-
-
 def shared_prefix(a: Column, b: Column, most: int = 32) -> Column:
     n = F.least(F.length(a), F.length(b), F.lit(most))
     return F.size(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda i: (i <= n) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))))
@@ -135,24 +148,21 @@ def url_verdict(url: Column) -> Column:
     )
 
 
-def is_marker(line: Column) -> Column:
-    """Whether a line names a part of a song: any ``[...]``, or ``(...)`` that begins with a part name."""
-    names = "bridge|breakdown|chorus|coda|hook|instrumental|interlude|intro|outro|prechorus|refrain|repeat|solo|spoken|vamp|verse"
-    return line.rlike(r"^\[[^\[\]]*\]$") | F.lower(line).rlike(rf"^\(\s*(?:{names})(?![\p{{L}}\p{{N}}'])[^()]*\)$")
+def is_marker(line: Column, names: Sequence[str] = PART_NAMES) -> Column:
+    """Whether a line names a part of a song: any ``[...]``, or ``(...)`` that begins with one of the part ``names``."""
+    return line.rlike(r"^\[[^\[\]]*\]$") | F.lower(line).rlike(rf"^\(\s*(?:{'|'.join(names)})(?![\p{{L}}\p{{N}}'])[^()]*\)$")
 
 
 @F.arrow_udf(T.StringType())
 def folded(texts: pa.Array) -> pa.Array:
     """Accents and case folded, apostrophes unified, punctuation as spaces: the form for exact comparisons."""
-    out = []
-    for t in texts.to_pylist():
-        if t is None:
-            out.append(None)
-            continue
-        t = t.translate(str.maketrans("´‘’ʼ`", "'''''"))
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
-        out.append(" ".join("".join(c if c.isalnum() else " " for c in t).split()))
-    return pa.array(out, pa.string())
+    return pa.array([None if t is None else " ".join("".join(c if c.isalnum() else " " for c in fold(t)).split()) for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def tokens(texts: pa.Array) -> pa.Array:
+    """Comparison tokens of ``speech.tokens_of``; a null text gives null."""
+    return pa.array([None if t is None else tokens_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 @F.arrow_udf(T.IntegerType())
@@ -162,29 +172,6 @@ def display_width(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else sum(map(one, t)) for t in texts.to_pylist()], pa.int32())
 
 
-def number_words(digits: str) -> list[str]:
-    """English words of a digit run: years in pairs, below a million in full, else digit by digit."""
-    ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-    tens = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
-
-    def below(n: int) -> list[str]:
-        if n >= 100:
-            return [ones[n // 100], "hundred", *(below(n % 100) if n % 100 else [])]
-        return [ones[n]] if n < 20 else [tens[n // 10], *([ones[n % 10]] if n % 10 else [])]
-
-    single = [ones[int(c)] for c in digits]
-    if digits[0] == "0" and len(digits) > 1 or len(digits) > 9:
-        return single
-    n = int(digits)
-    if len(digits) == 4 and 1100 <= n <= 2099 and n % 100 >= 10:
-        return below(n // 100) + below(n % 100)
-    if n < 1000:
-        return below(n)
-    if n < 1_000_000:
-        return [*below(n // 1000), "thousand", *(below(n % 1000) if n % 1000 else [])]
-    return single
-
-
 @F.arrow_udf(T.StringType())
 def spoken_number(digits: pa.Array) -> pa.Array:
     return pa.array([" ".join(number_words(t)) if t and t.isdigit() and t.isascii() else None for t in digits.to_pylist()], pa.string())

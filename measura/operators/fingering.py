@@ -45,10 +45,11 @@ def shapes(pitches: Sequence[int], tuning: Sequence[int] = TUNINGS["standard"],
     return found
 
 
-def best_shapes(pitches: Sequence[int], confidence: dict[int, float], tuning: Sequence[int] = TUNINGS["standard"], max_fret: int = 20) -> list[tuple[float, float, Shape]]:
-    """The cheapest shapes of the largest playable subset of the pitches, the most confident where several are as large."""
-    within = [p for p in sorted(pitches) if any(0 <= p - t <= max_fret for t in tuning)][-len(tuning) :]
-    for size in range(len(within), 0, -1):
+def best_shapes(pitches: Sequence[int], confidence: dict[int, float], tuning: Sequence[int] = TUNINGS["standard"], max_fret: int = 20, most: int | None = None) -> list[tuple[float, float, Shape]]:
+    """The cheapest shapes of the largest playable subset of the ``most`` highest pitches (one a string), the most confident where several are as large."""
+    most = most or len(tuning)
+    within = [p for p in sorted(pitches) if any(0 <= p - t <= max_fret for t in tuning)][-most:]
+    for size in range(min(len(within), len(tuning)), 0, -1):
         by_strength: dict[float, list] = {}
         for some in combinations(within, size):
             if made := shapes(some, tuning, max_fret):
@@ -82,22 +83,24 @@ def cheapest_path(layers: Sequence[Sequence[tuple[float, float, Shape]]]) -> lis
     return path[::-1]
 
 
-def fingerings(chosen: DataFrame, key: str, group: str) -> DataFrame:
+def fingerings(chosen: DataFrame, key: str, group: str, tuning: Sequence[int] = TUNINGS["standard"], max_fret: int = 20) -> DataFrame:
     """(key, group, string, fret, pitch) for the selected notes (key, group, pitch, confidence): one path for each key.
 
     The path is sequential, so a run is worked through in one task; a run is one transcription of
-    one song. Pitches that no shape can hold are left out.
+    one song. Pitches that no shape can hold are left out. The shapes of a chord are found once in a run.
     """
-    kind = dict(chosen.dtypes)[key]
+    types = dict(chosen.dtypes)
 
     def play(run: pd.DataFrame) -> pd.DataFrame:
-        layers, at = [], []
+        layers, at, met = [], [], {}
         for g, rows in run.sort_values([group, "pitch"]).groupby(group, sort=True):
-            best = best_shapes(rows["pitch"].tolist(), dict(zip(rows["pitch"], rows["confidence"], strict=True)))
-            if best:
-                layers.append(best)
+            chord = tuple(zip(rows["pitch"].tolist(), rows["confidence"].tolist(), strict=True))
+            if chord not in met:
+                met[chord] = best_shapes([p for p, _ in chord], dict(chord), tuning, max_fret)
+            if met[chord]:
+                layers.append(met[chord])
                 at.append(g)
         out = [(run[key].iloc[0], g, s, f, p) for g, layer, i in zip(at, layers, cheapest_path(layers), strict=True) for s, f, p in layer[i][2]]
         return pd.DataFrame(out, columns=[key, group, "string", "fret", "pitch"])
 
-    return chosen.select(key, group, "pitch", "confidence").groupBy(key).applyInPandas(lambda run: play(run), f"{key} {kind}, {group} double, string int, fret int, pitch int")
+    return chosen.select(key, group, "pitch", "confidence").groupBy(key).applyInPandas(lambda run: play(run), f"{key} {types[key]}, {group} {types[group]}, string int, fret int, pitch int")

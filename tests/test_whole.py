@@ -79,23 +79,34 @@ def test_library_places_are_global(spark, tables):
     assert {r.song_id: r.place for r in QUERIES["a35_library"](spark, d).collect()} == {i: n for n, i in enumerate(order, 1)}
 
 
-def test_every_sheet_meets_every_attempt(spark, tables):
-    sheets = [(1, 1, "the river runs past the tin roof"), (2, 1, "[00:01.00] a paper kite in the sun"), (3, 2, "le café bleu"), (4, 3, "nobody sang this"), (5, 1, " ")]
+def test_every_sheet_and_every_attempt_is_aligned(spark, tables):
+    """A song's attempts meet its best sheet, its sheets its best attempt: no product of both."""
+    sheets = [(1, 1, "the river runs past the tin roof"), (2, 1, "[00:01.00] a paper kite in the sun\n[00:02.00] and a river"), (3, 2, "le café bleu"), (4, 3, "nobody sang this"), (5, 1, " ")]
     cues = [(1, 11, 0.0, 1.0, "the rivers run"), (2, 11, 1.0, 2.0, "past a tin roof"), (3, 12, 0.0, 2.0, "paper kites in the sun"), (4, 21, 0.0, 1.0, "le café")]
     attempts = [(11, 1), (12, 1), (12, 1), (13, 1), (21, 2), (41, 4)]
-    many = 70  # more than one block on either side
+    many = 70
     sheets += [(100 + i, 5, f"the tin roof number {i}") for i in range(many)]
     attempts += [(100 + i, 5) for i in range(many)]
     cues += [(100 + i, 100 + i, 0.0, 1.0, f"a tin proof number {i}") for i in range(many)]
-    d = tables(embedded_lyrics=("lyrics_id long, song_id long, text string", [*sheets, sheets[0]]), attempts=("attempt_id long, song_id long", attempts), raw_cues=(CUES, [(*c, -0.1) for c in cues]))
-    got = {(r.lyrics_id, r.attempt_id): (r.song_id, r.tokens, r.heard, r.matched, r.exact, r.grade) for r in QUERIES["j13_alignment"](spark, d).collect()}
-    want = {}
-    for lyrics, song, text in sheets:
-        for attempt in {a for a, s in attempts if s == song and text.strip()}:
-            r = A.report(text.replace("[00:01.00]", " "), [c[2:] for c in cues if c[1] == attempt])
-            want[lyrics, attempt] = (song, *(r[c] for c in ("tokens", "heard", "matched", "exact", "grade")))
-    assert got == want and len(got) == 7 + many * many
+    word = "word_id long, cue_id long, attempt_id long, word_ix int, start_s double, end_s double, text string"
+    d = tables(
+        embedded_lyrics=("lyrics_id long, song_id long, tag string, origin string, language_code string, text string", [(i, s, "LYRICS", "tag", "en", t) for i, s, t in [*sheets, sheets[0]]]),
+        attempts=("attempt_id long, song_id long", attempts), raw_cues=(CUES, [(*c, -0.1) for c in cues]),
+        lyric_words=(word, [(1, 3, 12, 0, 0.5, 1.0, "paper"), (2, 3, 12, 1, 1.0, 1.5, "kite")]), media_metadata=("song_id long, duration double", [(1, 9.0), (1, 9.0), (2, None), (5, 4.0)]),
+    )
+    best_sheet = {r.song_id: r.lyrics_id for r in QUERIES["f4_best_sheet"](spark, d).collect()}
+    best_attempt = {r.song_id: r.attempt_id for r in QUERIES["d10_choose_attempt"](spark, d).collect()}
+    got = {(r.lyrics_id, r.attempt_id): r.asDict() for r in QUERIES["j13_alignment"](spark, d).collect()}
+    texts, own = {i: t for i, _, t in sheets}, {12: [(0.5, 1.0, "paper"), (1.0, 1.5, "kite")]}
+    want = {(best_sheet[s], a) for a, s in attempts if s in best_sheet} | {(i, best_attempt[s]) for i, s, t in sheets if s in best_attempt and t.strip()}
+    assert set(got) == want and len(want) == 4 + 1 + 2 * many - 1
+    for (lyrics, attempt), r in got.items():
+        heard = A.heard_words([(*c[2:], own.get(attempt)) for c in cues if c[1] == attempt])
+        _, figures = A.aligned(texts[lyrics].replace("[00:01.00]", " ").replace("[00:02.00]", " ").splitlines(), heard, {1: 9.0, 5: 4.0}.get(r["song_id"]))
+        assert {k: r[k] for k in figures} == figures
     assert sum(r.alignments for r in QUERIES["d12_grades"](spark, d).collect()) == len(got)
+    times = QUERIES["e11_word_times"](spark, d).where("lyrics_id = 3").orderBy("place").collect()
+    assert [(r.word, r.origin) for r in times] == [("le", "matched"), ("café", "matched"), ("bleu", "interpolated")]
 
 
 def test_the_best_of_all_attempts_is_kept(spark, tables):
