@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -30,18 +31,27 @@ BITS = 18
 #: weight of the counterfactual penalty
 SWAP_PENALTY = 0.3
 
-# Words that name groups of people, by language; they swap for each other.
+#: verdicts of either kind that a language needs before its flagged documents are learned from; below, the model abstains in it
+LEAST_FLAGGED, LEAST_UNFLAGGED = 5, 20
+
+# Words that name groups of people, by language and number; those of one line swap for each other.
 IDENTITY_TERMS = {
     "en": "women men immigrants foreigners refugees muslims jews christians gays lesbians girls boys americans mexicans blacks whites asians catholics atheists migrants",
+    "en, one": "woman man immigrant foreigner refugee muslim jew christian lesbian girl boy american mexican catholic atheist migrant",
     "es": "mujeres hombres inmigrantes extranjeros refugiados musulmanes judíos cristianos gays lesbianas gitanos",
+    "es, one": "mujer hombre inmigrante extranjero refugiado musulmán judío cristiano lesbiana gitano",
     "de": "frauen männer einwanderer ausländer flüchtlinge muslime juden christen schwule lesben türken",
+    "de, one": "frau mann einwanderer ausländer flüchtling muslim jude christ lesbe türke",
     "fr": "femmes hommes immigrés étrangers réfugiés musulmans juifs chrétiens gays lesbiennes",
+    "fr, one": "femme homme immigré étranger réfugié musulman juif chrétien lesbienne",
     "it": "donne uomini immigrati stranieri rifugiati musulmani ebrei cristiani gay lesbiche zingari",
     "pt": "mulheres homens imigrantes estrangeiros refugiados muçulmanos judeus cristãos gays lésbicas",
     "nl": "vrouwen mannen immigranten buitenlanders vluchtelingen moslims joden christenen homo's lesbiennes",
     "sv": "kvinnor män invandrare utlänningar flyktingar muslimer judar kristna bögar lesbiska",
     "pl": "kobiety mężczyźni imigranci obcokrajowcy uchodźcy muzułmanie żydzi chrześcijanie geje lesbijki",
     "ru": "женщины мужчины мигранты иностранцы беженцы мусульмане евреи христиане геи лесбиянки",
+    "ru, of": "женщин мужчин мигрантов иностранцев беженцев мусульман евреев христиан геев лесбиянок",
+    "ja": "女性 男性 移民 外国人 難民 老人 若者 韓国人 中国人 同性愛者",
 }
 SECOND_PERSON = frozenset("you your yours u ur yourself tu te ti tus tuyo usted vos vosotros du dich dir dein deine deinen euch ihr toi ton ta tes vous votre tuo tua tuoi tue voi vocês você seu sua teu tua jij je jou jouw u dig din ditt dina ty ciebie cię ci twój twoja wy ты тебя тебе твой твоя твою вы вас вам お前 おまえ あなた てめえ 君 きみ".split())
 FIRST_PERSON = frozenset("i my me myself mine yo mi mis me ich mich mir mein meine je moi mon ma mes io mio mia eu meu minha ik mij mijn jag mig min mitt ja mnie mój moja я меня мне мой моя 俺 私 僕 おれ".split())
@@ -143,18 +153,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-_GROUP_OF = {t: lang for lang, terms in IDENTITY_TERMS.items() for t in terms.split()}
+def _term_index(terms: dict[str, str]) -> tuple[dict[tuple[str, ...], str], dict[str, list[tuple[str, ...]]]]:
+    """The terms as the words they are read as: the line of each, and the terms of each line."""
+    lines = {name: [tuple(words(t)) for t in told.split()] for name, told in terms.items()}
+    return {t: name for name, own in reversed(lines.items()) for t in own}, lines
+
+
+_LINE_OF, _TERMS = _term_index(IDENTITY_TERMS)
+_LONGEST = max(map(len, _LINE_OF))
+
+
+def _mentions(tokens: Sequence[str]) -> list[tuple[int, int, str]]:
+    """(from, to, line) of the identity terms among ``tokens``, the longest at each place."""
+    out, i = [], 0
+    while i < len(tokens):
+        n = next((n for n in range(min(_LONGEST, len(tokens) - i), 0, -1) if tuple(tokens[i : i + n]) in _LINE_OF), 0)
+        if n:
+            out.append((i, i + n, _LINE_OF[tuple(tokens[i : i + n])]))
+        i += n or 1
+    return out
 
 
-def _swaps(tokens: list[str], rng: np.random.Generator) -> list[list[str]]:
-    where = [(i, _GROUP_OF[t]) for i, t in enumerate(tokens) if t in _GROUP_OF]
+def _swaps(tokens: Sequence[str], rng: np.random.Generator) -> list[list[str]]:
+    """The sentence with its identity terms swapped for others, twice; none without such a term."""
+    where = _mentions(tokens)
     out = []
     for _ in range(2 if where else 0):
-        other = list(tokens)
-        for i, lang in where:
-            terms = IDENTITY_TERMS[lang].split()
-            other[i] = _DOUBLED.sub(r"\1", terms[int(rng.integers(len(terms)))])
-        out.append(other)
+        other, at = [], 0
+        for a, b, line in where:
+            own = _TERMS[line]
+            other += [*tokens[at:a], *own[int(rng.integers(len(own)))]]
+            at = b
+        out.append([*other, *tokens[at:]])
     return out
 
 
@@ -176,7 +206,16 @@ class AbuseModel:
         self.weights, self.bias, self.threshold = weights, bias, threshold
 
     @classmethod
-    def fit(cls, texts: Sequence[str], labels: Sequence[int], rounds: int = 6, steps: int = 40, l2: float = 1e-4, seed: int = 7) -> AbuseModel:
+    def fit(cls, texts: Sequence[str], labels: Sequence[int], groups: Sequence[str | None] | None = None, rounds: int = 6, steps: int = 40, l2: float = 1e-4, seed: int = 7, swap_penalty: float = SWAP_PENALTY) -> AbuseModel:
+        """The model of ``texts`` with verdicts ``labels`` (1 flagged, 0 not).
+
+        ``groups`` names the language of each text. A few flagged texts of a language can't tell abuse from the language itself, so those
+        of no known language, or one with fewer than ``LEAST_FLAGGED`` flagged or ``LEAST_UNFLAGGED`` other texts, are left out.
+        """
+        if groups is not None:
+            told = Counter(zip(groups, labels, strict=True))
+            kept = [i for i, (g, v) in enumerate(zip(groups, labels, strict=True)) if v != 1 or g and told[g, 1] >= LEAST_FLAGGED and told[g, 0] >= LEAST_UNFLAGGED]
+            texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
         rng = np.random.default_rng(seed)
         index: dict[tuple[str, ...], int] = {}
         owner: list[int] = []
@@ -238,7 +277,7 @@ class AbuseModel:
                 g = (p * (pos + neg) - pos) / whole
                 grad = sub.back(g) + l2 * w
                 if len(source):
-                    drift = (sub.dot(w)[source] - swapped.dot(w)) * SWAP_PENALTY / len(source)
+                    drift = (sub.dot(w)[source] - swapped.dot(w)) * swap_penalty / len(source)
                     grad += sub.back(np.bincount(source, drift, sub.n)) - swapped.back(drift)
                 m = 0.9 * m + 0.1 * grad
                 v = 0.99 * v + 0.01 * grad * grad
@@ -305,15 +344,18 @@ def _distinct_sentences(texts: pa.Array) -> pa.Array:
     return pa.array(["\n".join(dict.fromkeys(filter(None, map(str.strip, _SENTENCE.split(t))))) for t in texts.to_pylist()], pa.string())
 
 
-def labelled(documents: DataFrame, verdicts: DataFrame, key: str = "doc_id", text: str = "text", verdict: str = "verdict", most: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """(distinct sentences, verdict) of at most ``most`` documents whose verdicts agree, in a fixed order of hashes; undecided ones are left out.
+def labelled(documents: DataFrame, verdicts: DataFrame, key: str = "doc_id", text: str = "text", verdict: str = "verdict", group: str | None = None, most: int = MAX_LABELLED) -> list[tuple[str, int, str | None]]:
+    """(distinct sentences, verdict, group) of at most ``most`` documents whose verdicts agree, in a fixed order of hashes; undecided ones are left out.
 
-    Whole texts are split on the executors; the driver gets each sentence of a document once.
+    The verdicts are chosen first, so the documents meet at most ``most`` keys, which are broadcast. Whole texts are
+    split on the executors; the driver gets each sentence of a document once. Documents without text give none.
     """
-    said = verdicts.where(F.col(verdict).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(verdict).alias("low"), F.max(verdict).alias("high")).where("low = high")
-    rows = said.join(documents.select(key, F.col(text).alias("__text")).where("__text <> ''"), key).withColumn("__h", F.xxhash64(key))
-    parts = [rows.where(F.col("high") == v).orderBy("__h", key).limit(most // 2).select("__text", "high") for v in (0, 1)]
-    return [(r[0], int(r[1])) for r in parts[0].unionByName(parts[1]).select(_distinct_sentences("__text"), "high").collect()]
+    said = verdicts.where(F.col(verdict).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(verdict).alias("__low"), F.max(verdict).alias("__said")).where("__low = __said")
+    parts = [said.where(F.col("__said") == v).orderBy(F.xxhash64(key), key).limit(most // 2).select(key, "__said") for v in (0, 1)]
+    named = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    docs = documents.select(key, F.col(text).alias("__text"), named.alias("__group")).where("__text <> ''")
+    rows = docs.join(F.broadcast(parts[0].unionByName(parts[1])), key).select(F.xxhash64(key).alias("__h"), key, _distinct_sentences("__text").alias("__text"), "__said", "__group").collect()
+    return [(r["__text"], int(r["__said"]), r["__group"]) for r in sorted(rows, key=lambda r: (r["__said"], r["__h"], r[key]))]
 
 
 def abuse_scores(documents: DataFrame, model: AbuseModel, text: str | Column = "text") -> Column:

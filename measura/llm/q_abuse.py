@@ -10,8 +10,8 @@ from measura.session import table
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> AbuseModel:
-    pairs = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_reviews"))
-    return AbuseModel.fit([t for t, _ in pairs], [v for _, v in pairs])
+    told = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_reviews"), group="lang")
+    return AbuseModel.fit([t for t, *_ in told], [v for _, v, _ in told], [g for *_, g in told])
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

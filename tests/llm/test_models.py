@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from measura.llm.abuse import AbuseModel, abuse_scores, labelled, sentences, words
+from measura.llm.abuse import IDENTITY_TERMS, SWAP_PENALTY, AbuseModel, _mentions, _swaps, abuse_scores, labelled, sentences, words
 from measura.llm.language import BiGru, _padded, label_code, line_text, record_languages, stretches
 
 
@@ -110,7 +110,51 @@ def test_model_tells_abuse_from_loaded_words(spark):
     assert AbuseModel.fit([], []).scorer()("anything") < 0.5
 
 
+def test_every_identity_term_is_reached():
+    for line, terms in IDENTITY_TERMS.items():
+        for term in terms.split():
+            tokens = words(f"quiz {term} quiz")
+            assert len(_mentions(tokens)) == 1, (line, term)
+            swapped = _swaps(tokens, np.random.default_rng(1))
+            assert len(swapped) == 2 and all(s[0] == s[-1] == "quiz" and len(_mentions(s)) == 1 for s in swapped)
+    assert _swaps(words("nobody is named here"), np.random.default_rng(1)) == []
+
+
+def test_the_swap_penalty_spares_neutral_mentions():
+    """Abuse in the labelled texts names two groups mostly; neutral mentions of these groups must not be taken for it."""
+    bad = ["{} are vermin", "{} are filth and should be gone", "all {} are liars", "nobody wants {} here", "{} ruin every town"]
+    fine = ["the river was calm on day {}", "we tuned the strings for show {}", "the train left at {}", "song {} needs a new bridge", "chord {} is hard to hold"]
+    texts, labels = [], []
+    for i in range(300):
+        texts.append(" ".join(f"{fine[(i + k) % 5].format(i)}." for k in range(3)))
+        labels.append(0)
+        if i % 3 == 0:
+            texts[-1] += f" {bad[i % 5].format(('muslims', 'women')[i % 2])}."
+            labels[-1] = 1
+        elif i % 10 == 1:
+            texts[-1] += f" {('asians', 'catholics')[i % 2]} play in our band."
+    neutral = [t.format(g) for g in ("muslims", "women") for t in ("{} play in the band on sunday", "we met three {} at the show", "many {} live beside the river", "{} sang the second verse", "a choir of {} came by train")]
+    false = {}
+    for penalty in (0.0, SWAP_PENALTY):
+        model = AbuseModel.fit(texts, labels, swap_penalty=penalty)
+        score = model.scorer()
+        false[penalty] = sum(score(t) >= model.threshold for t in neutral), float(np.mean([score(t) for t in neutral]))
+        assert score("muslims are vermin") >= model.threshold
+    assert false[SWAP_PENALTY] < false[0.0]
+
+
+def test_languages_with_few_verdicts_are_abstained_in(spark):
+    fine, bad = "We played the slow train on day {}.", "You are a stupid idiot, go home."
+    texts = [fine.format(i) for i in range(60)] + [f"{fine.format(i)} {bad}" for i in range(12)] + ["Jeg er en dum idiot og du er værre", "Vi spillede sangen i går", "Toget kører langsomt i dag"]
+    labels, groups = [0] * 60 + [1] * 12 + [1, 0, 0], ["en"] * 72 + ["da"] * 3
+    model = AbuseModel.fit(texts, labels, groups)
+    score = model.scorer()
+    assert score(bad) >= model.threshold
+    assert all(score(t) < model.threshold for t in ("Vi spillede sangen igen", "Toget er sent på den", "Jeg er træt i dag og du er glad"))
+
+
 def test_verdicts_that_disagree_are_left_out(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a", "en"), (2, "b", None), (3, None, "en"), (4, "d", "da")], "doc_id long, text string, lang string")
     said = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 0), (4, None), (None, 1)], "doc_id long, verdict int")
-    assert sorted(labelled(docs, said)) == [("b", 1), ("d", 0)]
+    assert sorted(labelled(docs, said, group="lang")) == [("b", 1, None), ("d", 0, "da")]
+    assert labelled(docs.limit(0), said) == [] == labelled(docs, said.limit(0))

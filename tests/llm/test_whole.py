@@ -32,7 +32,7 @@ def test_the_end_of_a_long_document_is_labelled(spark):
     rows = [(1, " ".join([*calm, "you are a worthless fool."])), (2, " ".join(calm)), (3, "bob: one line\n[00:01.00] one line\r\n\u00a0- other line.")]
     pairs = labelled(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, verdict int"))
     once = lambda t: list(dict.fromkeys(sentences(t)))
-    assert sorted((once(p), v) for p, v in pairs) == sorted((once(t), int(i == 1)) for i, t in rows)
+    assert sorted((once(p), v) for p, v, _ in pairs) == sorted((once(t), int(i == 1)) for i, t in rows)
 
 
 def test_abuse_at_the_end_of_long_documents_is_learnt():
