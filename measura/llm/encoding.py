@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from encodings.aliases import aliases
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from measura.llm.unify import CYRILLIC_AS_LATIN, GREEK_AS_LATIN
 from measura.session import cut
 
-#: Codecs that texts are wrongly read with, and codecs they were written in.
+#: Codecs that texts are usually read with wrongly, and codecs they were written in; they are tried before all others.
 WRONG = ("cp1252", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "cp1250", "cp852")
 TRUE_WIDE = ("utf-8", "cp932", "euc_jp")
 TRUE_NARROW = ("cp1251", "koi8_r", "cp1252", "mac_roman", "cp866", "cp850", "cp1250", "cp437")
@@ -33,8 +34,8 @@ CHAINS = tuple((w, t) for w in WRONG for t in (*TRUE_WIDE, *TRUE_NARROW) if w !=
 
 #: letters that look like Latin ones, small Greek letters of a shape of their own left out
 POSING = frozenset(CYRILLIC_AS_LATIN) | frozenset(c for c in GREEK_AS_LATIN if c.isupper() or c in "ονρ")
-#: twins that must agree on a transformation before it is applied
-MIN_VOTES = 3
+#: share of the lines with characters beyond ASCII that must vote for a transformation before it is applied, at least one line
+MIN_SHARE = 3e-5
 #: ASCII letters a stripped text needs to identify a twin
 MIN_ASCII = 8
 
@@ -52,12 +53,29 @@ def _byte_of(codec: str) -> dict[str, int]:
     return out
 
 
-_BYTES = {w: _byte_of(w) for w in WRONG}
+@lru_cache(None)
+def _bytes_of(codec: str) -> dict[str, int]:
+    return _byte_of(codec)
+
+
+@lru_cache(1)
+def other_chains() -> tuple[tuple[str, str], ...]:
+    """Every pair of single-byte codecs that Python knows (and UTF-8 read by one) beside ``CHAINS``."""
+
+    def single(codec: str) -> bool:
+        try:
+            return bytes(range(0x20, 0x7F)).decode(codec) == "".join(map(chr, range(0x20, 0x7F))) and len(bytes(range(0x80, 0x100)).decode(codec, "replace")) == 0x80
+        except (LookupError, UnicodeError):
+            return False
+
+    narrow = sorted(c for c in set(aliases.values()) if c not in ("ascii", "mbcs", "oem") and single(c))
+    met = set(CHAINS)
+    return tuple((w, t) for w in narrow for t in ("utf-8", *narrow) if w != t and (w, t) not in met)
 
 
 def undo(text: str, wrong: str, true: str) -> str | None:
     """``text`` read again: back to bytes by ``wrong``, decoded by ``true``; None if that fails."""
-    table, raw = _BYTES[wrong], bytearray()
+    table, raw = _bytes_of(wrong), bytearray()
     for c in text:
         if c < "\x80":
             raw.append(ord(c))
@@ -207,21 +225,28 @@ def _stripped(lines: pa.Array) -> pa.Array:
     )
 
 
+@lru_cache(50_000)
+def _explained(garbled: str, clean: str, usual: bool) -> frozenset[str]:
+    """The chains, of the usual ones or of all others that Python knows, that turn one gap into the other."""
+    return frozenset(f"{w}>{t}" for w, t in (CHAINS if usual else other_chains()) if (once := undo(garbled, w, t)) is not None and once.lower() == clean.lower())
+
+
+def _voted(garbled: str, clean: str) -> frozenset[str]:
+    """The chains that explain all gaps of a garbled line by its twin; where none does, those that explain one."""
+    gaps = [(g, c) for g, c in zip(_gaps(garbled), _gaps(clean), strict=False) if g and c and g.lower() != c.lower() and "�" not in g and "?" not in g]
+    if not gaps:
+        return frozenset()
+    for usual in (True, False):
+        told = [_explained(g, c, usual) for g, c in gaps]
+        if whole := frozenset.intersection(*told):
+            return whole
+    return frozenset.union(*(_explained(g, c, True) for g, c in gaps))
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes of (garbled line, clean twin) pairs for the transformations that explain them."""
     for b in batches:
-        votes: dict[str, int] = {}
-        for garbled, clean in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen = set()
-            for g, c in zip(_gaps(garbled), _gaps(clean), strict=False):
-                if g and c and g != c:
-                    for wrong, true in CHAINS:
-                        once = undo(g, wrong, true)
-                        if once is not None and once.lower() == c.lower():
-                            seen.add(f"{wrong}>{true}")
-            if seen:
-                together = " ".join(sorted(seen))
-                votes[together] = votes.get(together, 0) + 1
+        votes = Counter(" ".join(sorted(v)) for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (v := _voted(g, c)))
         if votes:
             yield pa.RecordBatch.from_arrays([pa.array(list(votes)), pa.array(list(votes.values()), pa.int64())], names=["chain", "votes"])
 
@@ -240,10 +265,11 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["chain", "line", "n", "odd"])
 
 
-def learn(lines: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[str, str]]:
+def learn(lines: DataFrame, min_share: float = MIN_SHARE) -> list[tuple[str, str]]:
     """The transformations found in ``lines`` (line, n: distinct lines and how often each stands).
 
-    What reaches the driver is a count for each set of codec pairs that agree on a twin, never a
+    The votes a transformation needs grow with the lines that may be garbled (``min_share`` of them), so chance
+    agreements stay out of large corpora and single garbled lines count in small ones. What reaches the driver is a count for each set of codec pairs that agree on a twin, never a
     line. A cover is chosen greedily, so of codecs that read alike only the best supported stays.
     """
     marked = lines.where(F.col("line").rlike(r"[^\x00-\x7F]|\?")).withColumn("s", _stripped("line")).select("line", "n", "s.*").persist(StorageLevel.DISK_ONLY)
@@ -255,6 +281,8 @@ def learn(lines: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[str, str]]
     common = marked.select("line", F.col("n").alias("m"), F.col("odd").alias("odd_there"))
     met = read.join(common, "line").where("odd_there < odd OR (odd_there = odd AND m > n)").groupBy("chain").agg(F.count("*").alias("votes"))
     counted = Counter({frozenset(r["chain"].split()): r["votes"] for r in votes.unionByName(met).groupBy("chain").agg(F.sum("votes").alias("votes")).collect()})
+    needed = max(1.0, min_share * marked.count())
+    marked.unpersist()
     single: Counter[str] = Counter()
     for together, v in counted.items():
         for c in together:
@@ -266,7 +294,7 @@ def learn(lines: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[str, str]]
             for c in together:
                 open_[c] += v
         best_chain = min(open_, key=lambda c: (-open_[c], -single[c], c), default=None)
-        if best_chain is None or open_[best_chain] < min_votes:
+        if best_chain is None or open_[best_chain] < needed:
             return kept
         wrong, true = best_chain.split(">")
         kept.append((wrong, true))
@@ -397,7 +425,7 @@ def _fits(torn: pa.Array, whole: pa.Array) -> pa.Array:
 STAMP = r"^((?:\[[0-9:.]+\]\s?)*)"
 
 
-def garbled_fields(df: DataFrame, keys: Sequence[str], text: str, min_votes: int = MIN_VOTES, chains: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+def garbled_fields(df: DataFrame, keys: Sequence[str], text: str, min_share: float = MIN_SHARE, chains: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(keys, original, restored, is_restored) of each garbled text of ``df``.
 
     Texts are taken apart into lines (time stamps of lyrics stay in front), so partly garbled
@@ -409,7 +437,8 @@ def garbled_fields(df: DataFrame, keys: Sequence[str], text: str, min_votes: int
     split = rows.select(*keys, F.posexplode(F.split("original", "\n")).alias("at", "raw"))
     split = split.withColumn("stamp", F.regexp_extract("raw", STAMP, 1)).withColumn("line", F.regexp_replace(F.regexp_replace("raw", STAMP, ""), "\r$", ""))
     lines = split.where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).persist()
-    fixed = cut(repair_lines(lines, learn(lines, min_votes) if chains is None else chains))
+    fixed = cut(repair_lines(lines, learn(lines, min_share) if chains is None else chains))
+    lines.unpersist()
     suspect = split.where(F.col("line").rlike(r"[^\x00-\x7F]|\?"))
     hits = suspect.join(fixed, "line").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", F.concat("stamp", "restored")))).alias("new"), F.min("is_restored").alias("is_restored"))
     out = rows.join(hits, keys)

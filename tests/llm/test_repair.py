@@ -35,7 +35,7 @@ def test_fields_are_found_and_restored(spark):
     want = {1000: CLEAN[0], 1001: CLEAN[1], 1002: CLEAN[2], 1003: CLEAN[5], 1004: CLEAN[6], 1005: CLEAN[3], 1006: CLEAN[4], 1007: f"[00:01.00] {CLEAN[2]}\r\n[00:02.00] {CLEAN[0]}"}
     rows += [(k, v, None) for k, v in bad.items()] + [(1000, bad[1000], None), (2000, None, "x"), (2001, "", "x"), (2002, "   ", "x")]
     df = spark.createDataFrame(rows, "id long, text string, line string")
-    got = {r.id: r.restored for r in garbled_fields(df, ["id"], "text", min_votes=1).collect()}
+    got = {r.id: r.restored for r in garbled_fields(df, ["id"], "text").collect()}
     assert got == want
     assert garbled_fields(df.limit(0), ["id"], "text").count() == 0
 
@@ -68,3 +68,21 @@ def test_words_that_happen_to_be_bytes_stay():
     chains = [("cp866", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "utf-8"), ("cp1252", "cp932")]
     for text in ("чем дальше", "Тёмный лес", "сад", "Dе Ceniza", "Döörrholm", "MAÇÃ"):
         assert restore_line(text, chains)[:2] == (text, False)
+
+
+def test_chains_outside_the_menu_are_learned(spark):
+    """A codec that is in no list: its mapping comes from the twins."""
+    assert ("iso8859_2", "mac_latin2") not in CHAINS
+    clean = ["Zażółć gęślą jaźń nad rzeką", "Błękitny żagiel obok latarni", "Złamany grzebień i łódź", "Pożyczony bęben przez cichą noc"]
+    garbled = [t.encode("mac_latin2").decode("iso8859_2") for t in clean[:3]]
+    rows = list(enumerate(clean * 5)) + [(100 + i, g) for i, g in enumerate(garbled)]
+    got = {r.id: r.restored for r in garbled_fields(spark.createDataFrame(rows, "id long, text string"), ["id"], "text").collect()}
+    assert got == {100 + i: t for i, t in enumerate(clean[:3])}
+
+
+def test_one_garbled_title_is_enough_in_a_small_corpus(spark):
+    title = "銅のランプ"
+    garbled = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in title.encode("cp932"))
+    rows = [(1, title), (2, title), (3, garbled), (4, "Plain Road"), (5, f"{garbled} (Acoustic)")]
+    got = {r.id: r.restored for r in garbled_fields(spark.createDataFrame(rows, "id long, text string"), ["id"], "text").collect()}
+    assert got == {3: title, 5: f"{title} (Acoustic)"}
