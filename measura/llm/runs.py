@@ -15,8 +15,9 @@ from measura.llm.unify import folded
 from measura.operators.rangescan import OrderedScan
 from measura.session import cut
 
-#: Words that come and go without changing a line.
-INTERJECTIONS = frozenset("oh ah eh uh ho ha hey hei ey ay yeah yea yes yo wo woah whoa wow mm hm uhm um na la da and ой ах эх ох эй да о а".split())
+#: Interjections and vocables, which come and go without changing a line, and words that only lead into one when they open it.
+INTERJECTIONS = frozenset("oh ah eh uh ho ha hey hei ey ay yeah yea yo wo woah whoa wow mm hm uhm um na la da ой ах эх ох эй о".split())
+LEAD_INS = frozenset(("and",))
 
 _WORDS = re.compile(r"[^\W_]+")
 _DOUBLED = re.compile(r"(.)\1+")
@@ -24,8 +25,10 @@ _DOUBLED = re.compile(r"(.)\1+")
 
 @lru_cache(100_000)
 def line_key(text: str) -> tuple[str, str]:
-    """(letters of the line without interjections, its interjections); letters in a row count once."""
+    """(letters of the line without interjections and lead-ins, its interjections); letters in a row count once."""
     words = [_DOUBLED.sub(r"\1", w) for w in _WORDS.findall(folded(text).replace("'", ""))]
+    first = next((i for i, w in enumerate(words) if w not in LEAD_INS and w not in INTERJECTIONS), len(words))
+    words = [w for i, w in enumerate(words) if i >= first or w not in LEAD_INS]
     said = "".join(w for w in words if w not in INTERJECTIONS)
     return said, "" if said else " ".join(sorted(set(words)))
 

@@ -30,6 +30,7 @@ def test_same_line():
     for other in (base.upper(), "run with the paper kite run with the salt road!", "Oh, " + base, base + ", yeah", "Run with the papre kite, run with the salt road", "Run  with thе paper kite, run with the saaaalt road", "Run with th e paper kite, run with the salt road"):
         assert same_line(base, other)
     assert not same_line(base, "Run with the slow train, run with the salt road")
+    assert same_line("And we run", "Oh, and we run") and not same_line("salt and sand", "salt sand") and not same_line("Yes we run far", "We run far")
     assert not same_line("[music]", "Oh oh") and same_line("(Music)", "[music]")
 
 
