@@ -175,3 +175,16 @@ def display_width(texts: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StringType())
 def spoken_number(digits: pa.Array) -> pa.Array:
     return pa.array([" ".join(number_words(t)) if t and t.isdigit() and t.isascii() else None for t in digits.to_pylist()], pa.string())
+
+
+def stored_report(document: Column) -> Column:
+    """The alignment report of a JSON document: a struct whose every part is in range, or null."""
+    r = F.from_json(document, "matched_fraction double, interpolated_words long, mean_displacement double, usable boolean")
+    finite = lambda c: ~F.isnan(c) & (c < float("inf"))
+    fine = finite(r["matched_fraction"]) & r["matched_fraction"].between(0.0, 1.0) & (r["interpolated_words"] >= 0) & finite(r["mean_displacement"]) & (r["mean_displacement"] >= 0) & r["usable"].isNotNull()
+    return F.when(fine, r)
+
+
+def stays_inside(path: Column) -> Column:
+    """Whether a path is relative and holds no empty, ``.`` or ``..`` part and no back slash or control character."""
+    return ~path.rlike(r"^$|^/|/$|//|(?:^|/)\.{1,2}(?:/|$)|[\\\x00-\x1f]")

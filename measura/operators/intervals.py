@@ -174,3 +174,52 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str,
             yield from emit(columns, {"start": np.array([o["start"]]), "end": np.array([o["end"]]), "n": np.array([o["n"]]), "gap_to": np.array([-1]), "has_gap": np.array([False])})
 
     return scan.rescan(relabel, f"{', '.join(f'`{c}` {types[c]}' for c in entity)}, what string, from_at long, to_at long, n long")
+
+
+def prefix_max(df: DataFrame, entity: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` (entity, order and value columns) with ``name``: the greatest BIGINT ``value`` of the entity up to each row in ``order``.
+
+    Rows with a null value are left out. The order is global, so an entity may hold any share of the rows.
+    """
+    entity, order = list(entity), list(order)
+    rows = df.select(*entity, *order, F.col(value).cast("long").alias(value)).where(F.col(value).isNotNull())
+    scan = OrderedScan(rows, [*entity, *order], ties=[value])
+    types = dict(rows.dtypes)
+
+    def marked(batch: pa.RecordBatch, before: tuple | None) -> tuple[np.ndarray, tuple, tuple]:
+        new = np.zeros(batch.num_rows, bool)
+        for c in entity:
+            new[1:] |= _differs(batch.column(c))
+        row = lambda i: tuple(batch.column(c)[i].as_py() for c in entity)
+        new[0] = before is None or before != row(0)
+        return new, row(0), row(batch.num_rows - 1)
+
+    def runs(batches: Iterator[pa.RecordBatch], last: tuple | None, reach: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple, tuple]]:
+        for b in batches:
+            new, first, end = marked(b, last)
+            v = b.column(value).to_numpy(zero_copy_only=False).copy()
+            if not new[0] and reach is not None:
+                v[0] = max(v[0], reach)
+            top = _running_max(v, np.cumsum(new) - new[0])
+            last, reach = end, int(top[-1])
+            yield b, top, first, end
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> dict[str, Any] | None:
+        first = end = reach = None
+        for _, top, head, end in runs(batches, None, None):  # noqa: B007
+            first, reach = first or head, int(top[-1])
+        return None if first is None else {"first": dict(zip(entity, first, strict=True)), "last": dict(zip(entity, end, strict=True)), "reach": reach}
+
+    struct = f"struct<{', '.join(f'`{c}`: {types[c]}' for c in entity)}>"
+    carry: dict[int, tuple[tuple | None, int | None]] = {}
+    last, reach = None, None
+    for pid, p in scan.summaries(summarise, f"first {struct}, last {struct}, reach long").items():
+        carry[pid] = (last, reach)
+        head, end = (tuple(p[x][c] for c in entity) for x in ("first", "last"))
+        last, reach = end, max(p["reach"], reach) if head == end == last and reach is not None else p["reach"]
+
+    def number(pid: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, top, _, _ in runs(batches, *carry.get(pid, (None, None))):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top, pa.int64())], names=[*b.schema.names, name])
+
+    return scan.rescan(number, ", ".join(f"`{c}` {t}" for c, t in types.items()) + f", `{name}` long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -131,3 +131,34 @@ def choose_attempts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield batch(out)
     if now is not None:
         yield batch([(now[0], now[1][0], now[2])])
+
+
+def edit_loops(least: float, usual: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A fold of (player, what, position), ordered by player and time, to (player, start, end, active, refused edits); holds one player at a time."""
+
+    def edited(now: tuple[float, float, bool, int], what: str, at: float) -> tuple[float, float, bool, int]:
+        start, end, _, refused = now
+        if what == "signup":
+            return 0.0, 0.0, False, refused
+        start, end = (at, end if end > at else at + usual) if what == "click" else (start, at)
+        fine = end - start >= least
+        return start, end, fine, refused + (not fine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        player, now = None, (0.0, 0.0, False, 0)
+        names, kinds = ("user_id", "loop_start", "loop_end", "active", "refused"), (pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())
+        shut = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for b in batches:
+            out = []
+            for who, what, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if who != player:
+                    if player is not None:
+                        out.append((player, *now))
+                    player, now = who, (0.0, 0.0, False, 0)
+                now = edited(now, what, at)
+            if out:
+                yield shut(out)
+        if player is not None:
+            yield shut([(player, *now)])
+
+    return run

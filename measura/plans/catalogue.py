@@ -53,20 +53,6 @@ def b11_tunings(spark, d):
     return low.select("run_id", F.array_join(F.transform("t", lambda p: p.cast("string")), " ").alias("tuning"), ok.alias("valid"))
 
 
-def b13_sections(spark, d):
-    """Sections made of the first cues of each attempt: whether they start at 0 and ascend strictly."""
-    w = W.partitionBy("attempt_id").orderBy("cue_id")
-    c = load_cues(spark, d).withColumn("back", F.coalesce(F.lag("start").over(w) >= F.col("start"), F.lit(False)))
-    return c.groupBy("attempt_id").agg((F.count("*") <= 200).alias("few"), (F.min("start") == 0.0).alias("from_zero"), (~F.bool_or("back")).alias("ascending"))
-
-
-def b17_offsets(spark, d):
-    """Words of a cue as offsets into one list: first + count never passes the total."""
-    w = table(spark, d, "lyric_words").select("word_id", "cue_id").dropDuplicates(["word_id"])
-    per = w.groupBy("cue_id").agg(F.count("*").alias("n"), F.min("word_id").alias("first"), F.max("word_id").alias("last"))
-    return per.select("cue_id", "first", "n", (F.col("first") + F.col("n") - 1 <= F.col("last")).alias("sound"))
-
-
 def s1_stage_ledger(spark, d):
     """Stages of each log that still have to run: those without a done entry of their fingerprint."""
     r = stage_records(spark, d).withColumn("fingerprint", L.fingerprint("stage", "sha256"))
@@ -85,13 +71,6 @@ def s3_subsumption(spark, d):
     return L.subsumed(a.select("song_id", F.col("audio_source").alias("model")).distinct(), a.select("song_id", F.lit("mix").alias("model")).distinct(), "song_id", ranks)
 
 
-def a28_metadata(spark, d):
-    """Title and artist by priority, with a made name as the last choice."""
-    m = table(spark, d, "media_metadata").select("song_id", "title", "artist", "container").dropDuplicates(["song_id"])
-    some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return m.select("song_id", F.coalesce(some("title"), F.concat(F.lit("song-"), F.col("song_id").cast("string"))).alias("title"), F.coalesce(some("artist"), F.lit("unknown")).alias("artist"), F.lower("container").alias("container"))
-
-
 def a35_library(spark, d):
     """Songs in the order of the library: the latest scan first, then the id."""
     m = table(spark, d, "media_metadata").groupBy("song_id").agg(F.max("scanned_at").alias("at"))
@@ -218,7 +197,7 @@ def show_summary(spark, d):
     return songs.fillna(0)
 
 
-QUERIES = {f.__name__: f for f in (a6_durations, a28_metadata, a31_json_members, a34_stage_scan, a35_library, b11_tunings, b12_tab_check, b13_sections, b15_project_ids, b17_offsets, b18_valid_records, f4_best_sheet, f5_sidecar_rank, f6_caption_rank, f7_lyric_plan, f8_first_ready, g2_ignored_union, g3_shared_pitches, g4_new_pitches, g6_partition_check, g7_language_set, k1_canonical_json, k4_ascii_tab, s1_stage_ledger, s2_invalidation, s3_subsumption)}
+QUERIES = {f.__name__: f for f in (a6_durations, a31_json_members, a34_stage_scan, a35_library, b11_tunings, b12_tab_check, b15_project_ids, b18_valid_records, f4_best_sheet, f5_sidecar_rank, f6_caption_rank, f7_lyric_plan, f8_first_ready, g2_ignored_union, g3_shared_pitches, g4_new_pitches, g6_partition_check, g7_language_set, k1_canonical_json, k4_ascii_tab, s1_stage_ledger, s2_invalidation, s3_subsumption)}
 QUERIES["show_summary"] = show_summary
 
 _REC = r"""rl AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1)::INT - 1 AS line_ix FROM documents WHERE doc_kind = 'runlog' AND text IS NOT NULL),
@@ -229,15 +208,12 @@ _AB = "att AS (SELECT DISTINCT attempt_id, song_id, language_code, language_from
 _SETS = f"{SELECTED_SQL}, gs AS (SELECT run_id, anchor, list_sort(list(DISTINCT pitch)) AS p FROM chosen GROUP BY 1, 2), gl AS (SELECT *, lag(p) OVER (PARTITION BY run_id ORDER BY anchor) AS before FROM gs)"
 ORACLES = {
     "a6_durations": "WITH m AS (SELECT DISTINCT song_id, duration FROM media_metadata) SELECT CASE WHEN duration IS NULL OR isnan(duration) THEN 'missing' WHEN duration <= 0 THEN 'not positive' WHEN duration > 300 THEN 'too long' ELSE 'fine' END AS verdict, count(*) AS songs FROM m GROUP BY 1",
-    "a28_metadata": "WITH m AS (SELECT DISTINCT song_id, title, artist, container FROM media_metadata) SELECT song_id, coalesce(nullif(trim(title), ''), 'song-' || song_id) AS title, coalesce(nullif(trim(artist), ''), 'unknown') AS artist, lower(container) AS container FROM m",
     "a31_json_members": "SELECT event_type, count(CAST(json_extract(props, '$.k') AS BIGINT)) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS largest FROM events GROUP BY 1",
     "a34_stage_scan": f"WITH {_REC} SELECT doc_id, line_ix, stage, status, sha256, size, seconds FROM rec WHERE stage IS NOT NULL",
-    "a35_library": "WITH m AS (SELECT song_id, max(scanned_at) AS seen FROM media_metadata GROUP BY 1) SELECT song_id, row_number() OVER (PARTITION BY song_id % 64 ORDER BY seen DESC, song_id) AS place FROM m",
+    "a35_library": "WITH m AS (SELECT song_id, max(scanned_at) AS seen FROM media_metadata GROUP BY 1) SELECT song_id, row_number() OVER (ORDER BY seen DESC NULLS LAST, song_id) AS place FROM m",
     "b11_tunings": f"WITH {NOTES_SQL}, t AS (SELECT run_id, list_sort(list(DISTINCT pitch))[1:6] AS t FROM notes_c GROUP BY 1) SELECT run_id, array_to_string(t, ' ') AS tuning, len(t) = 6 AS valid FROM t",
     "b12_tab_check": f"WITH RECURSIVE {SELECTED_SQL}, {TUNING_SQL} SELECT run_id, count(*) FILTER (open + (pitch - open) <> pitch) AS wrong, count(*) AS positions FROM chosen JOIN tuning ON pitch - open BETWEEN 0 AND 20 GROUP BY 1",
-    "b13_sections": f"WITH {CUES_SQL}, b AS (SELECT *, coalesce(lag(start) OVER (PARTITION BY attempt_id ORDER BY cue_id) >= start, false) AS back FROM cues_c) SELECT attempt_id, count(*) <= 200 AS few, min(start) = 0 AS from_zero, NOT bool_or(back) AS ascending FROM b GROUP BY 1",
     "b15_project_ids": "WITH m AS (SELECT DISTINCT song_id, title FROM media_metadata), p AS (SELECT song_id, regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g') || '-' || song_id AS project_id FROM m) SELECT *, regexp_full_match(project_id, '[a-z0-9][a-z0-9-]{7,63}') AS valid FROM p",
-    "b17_offsets": "WITH w AS (SELECT DISTINCT word_id, cue_id FROM lyric_words) SELECT cue_id, min(word_id) AS first, count(*) AS n, min(word_id) + count(*) - 1 <= max(word_id) AS sound FROM w GROUP BY 1",
     "b18_valid_records": f"WITH {_REC} SELECT doc_id, count(*) FILTER ({_VALID}) AS valid, count(*) FILTER (NOT {_VALID}) AS invalid FROM rec WHERE stage IS NOT NULL GROUP BY 1",
     "f4_best_sheet": f"WITH {_SH} SELECT song_id, lyrics_id, is_lrc FROM sb QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY is_lrc DESC, coalesce(base = 'en', false) DESC, length(text) DESC, lyrics_id) = 1",
     "f5_sidecar_rank": f"WITH {_SH}, r AS (SELECT *, CASE WHEN tl = '' THEN 0 WHEN base = 'es' THEN 1 ELSE 2 END AS rnk FROM sb) SELECT song_id, arg_min(lyrics_id, (rnk, lyrics_id)) AS lyrics_id, min(rnk) AS rank FROM r GROUP BY 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from measura.functions import text as X
+from measura.functions.speech import ONES, TENS
 from measura.operators.alignment import align_pairs
 from measura.operators.captions import folded_resends, merge_captions, normalise_cues
 from measura.operators.fingering import fingerings
@@ -80,4 +81,12 @@ def h17_display_width(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (e20_fingering, j13_alignment, e11_word_times, e3_folded_resends, e4_merged_captions, e8_normalised_cues, h2_folded, h5_spoken_numbers, h17_display_width)}
-ORACLES: dict[str, str] = {}
+_ONES, _TENS = (f"[{', '.join(repr(w) for w in words)}]" for words in (ONES, TENS))
+_REST = lambda words, n: f"CASE WHEN {n} > 0 THEN ' ' || {words(n)} ELSE '' END"
+_ONE = lambda n: f"{_ONES}[{n} + 1]"
+_HUNDRED = lambda n: f"CASE WHEN {n} < 20 THEN {_ONE(n)} ELSE {_TENS}[{n} // 10 - 1] || {_REST(_ONE, f'({n} % 10)')} END"
+_THOUSAND = lambda n: f"CASE WHEN {n} >= 100 THEN {_ONE(f'{n} // 100')} || ' hundred' || {_REST(_HUNDRED, f'({n} % 100)')} ELSE {_HUNDRED(n)} END"
+ORACLES = {
+    "h5_spoken_numbers": f"""WITH m AS (SELECT DISTINCT song_id, song_id AS n FROM media_metadata) SELECT song_id, CASE WHEN n >= 1000000 THEN array_to_string(list_transform(string_split(n::VARCHAR, ''), lambda c: {_ONES}[c::INT + 1]), ' ')
+WHEN n BETWEEN 1100 AND 2099 AND n % 100 >= 10 THEN ({_HUNDRED("(n // 100)")}) || ' ' || ({_HUNDRED("(n % 100)")}) WHEN n >= 1000 THEN ({_THOUSAND("(n // 1000)")}) || ' thousand' || {_REST(_THOUSAND, "(n % 1000)")} ELSE {_THOUSAND("n")} END AS words FROM m""",
+}

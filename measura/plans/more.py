@@ -65,7 +65,7 @@ def a24_json_cues(spark, d):
 
 
 def a25_provenance(spark, d):
-    """Timing of each sheet from what it is, with its report only where all of it is in range."""
+    """Timing of each sheet from what it is; ``a25_stored_reports`` reads the reports."""
     t = table(spark, d, "embedded_lyrics").select("lyrics_id", "origin").dropDuplicates(["lyrics_id"])
     timing = F.when(F.col("origin").contains("syncedlyrics") & ~F.col("origin").contains("unsynced"), "authored").when(F.col("origin").endswith("-estimated"), "estimated").otherwise("unknown")
     return t.select("lyrics_id", timing.alias("timing"))

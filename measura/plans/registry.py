@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("notes", "joins", "sequences", "text", "catalogue", "more", "streams", "grouped", "periods")
+MODULES = ("notes", "joins", "sequences", "text", "catalogue", "more", "streams", "grouped", "periods", "rules")
 
 
 def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

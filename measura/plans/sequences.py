@@ -173,14 +173,6 @@ def b7_runaway_repetition(spark, d):
     return runs.groupBy("cue_id").agg(F.max("n").alias("repeats"))
 
 
-def s7_watermark(spark, d, delay_s: int = 3600):
-    """Events of each type by whether they are final behind the watermark of their arrival (latest time so far less an hour)."""
-    e = table(spark, d, "events").select("event_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"))
-    w = W.partitionBy("event_type").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    late = F.col("us") < F.max("us").over(w) - delay_s * 1_000_000
-    return e.withColumn("late", late).groupBy("event_type").agg(F.count("*").alias("events"), F.count_if("late").alias("late"))
-
-
 def s9_wraps(spark, d):
     """Times that the play position of a user (value of their events) falls back by more than 0.25, and the speed after them."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -188,41 +180,7 @@ def s9_wraps(spark, d):
     return e.groupBy("user_id").agg(F.count_if("wrap").alias("wraps")).select("user_id", "wraps", F.round(F.least(F.lit(1.0), 0.5 + F.col("wraps") * 0.05), 6).alias("rate"))
 
 
-def s10_drift(spark, d):
-    """Correction for the drift between neighbouring events of a user: a seek beyond 0.12, else a rate within 1.5 %."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    drift = (F.col("value") - F.lag("value").over(w)) / 100
-    e = table(spark, d, "events").withColumn("drift", drift).where("drift IS NOT NULL")
-    seek = F.abs("drift") > 0.12
-    return e.groupBy("event_type").agg(F.count_if(seek).alias("seeks"), F.round(F.avg(F.when(~seek, F.greatest(F.lit(0.985), F.least(F.lit(1.015), 1 - F.col("drift") * 0.18)))), 6).alias("mean_rate"))
-
-
-def s12_loop_edits(spark, d):
-    """Loops between the first and last event of a user that are long enough (0.25 s), else one second."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    return e.select("user_id", F.col("a").alias("loop_start"), F.when(F.col("b") - F.col("a") >= 0.25, F.col("b")).otherwise(F.col("a") + 1.0).alias("loop_end"))
-
-
-def s13_edge_events(spark, d, most: int = 12):
-    """Onsets crossed since the tick before, at most twelve for a tick of half a second."""
-    c = load_cues(spark, d).withColumn("tick", F.floor(F.col("start") / 0.5)).groupBy("attempt_id", "tick").agg(F.least(F.count("*"), F.lit(most)).alias("onsets"))
-    return c
-
-
-def s15_mute_solo(spark, d):
-    """Which embeddings' labels are heard when label 0 plays solo and odd vectors are muted: solo wins over others, mute over all."""
-    e = table(spark, d, "embeddings").select("vec_id", "label").withColumns({"solo": F.col("label") == 0, "muted": F.col("vec_id") % 2 == 1})
-    any_solo = F.bool_or("solo").over(W.partitionBy(F.floor(F.col("vec_id") / 64)))
-    return e.withColumn("any_solo", any_solo).select("vec_id", F.when(F.col("muted"), False).when(F.col("any_solo"), F.col("solo")).otherwise(True).alias("audible"))
-
-
-def s5_block_mix(spark, d, frames: int = 16):
-    """Sum of the samples of all tracks (labels) of a block, frame by frame; blocks hold sixteen vectors."""
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / frames).alias("block"), F.posexplode("embedding").alias("frame", "sample"))
-    return e.groupBy("block", "frame").agg(F.round(F.sum(F.col("sample").cast("double")), 4).alias("mix"))
-
-
-QUERIES = {f.__name__: f for f in (e1_has_word_gap, e2_split_word_gaps, e5_trim_holds, e6_cap_runs, e7_min_display, e9_monotone_words, e10_spread_words, e11_anchor_interpolation, e12_displacement, e13_least_span, e15_latest_onset, e17_gap_tiles, e18_cue_words, s8_chord_latch, d13_longest_run, d9_weighted_score, d10_choose_attempt, d14_word_span, d15_used_fraction, d19_rate, d20_readiness, a32_order_violations, b4_clean_cues, b7_runaway_repetition, s7_watermark, s9_wraps, s10_drift, s12_loop_edits, s13_edge_events, s15_mute_solo, s5_block_mix)}
+QUERIES = {f.__name__: f for f in (e1_has_word_gap, e2_split_word_gaps, e5_trim_holds, e6_cap_runs, e7_min_display, e9_monotone_words, e10_spread_words, e11_anchor_interpolation, e12_displacement, e13_least_span, e15_latest_onset, e17_gap_tiles, e18_cue_words, s8_chord_latch, d13_longest_run, d9_weighted_score, d10_choose_attempt, d14_word_span, d15_used_fraction, d19_rate, d20_readiness, a32_order_violations, b4_clean_cues, b7_runaway_repetition, s9_wraps)}
 
 _CO = 'PARTITION BY attempt_id ORDER BY start, "end", cue_id'
 _SPLIT = r"string_split_regex(trim(text), '\s+')"
@@ -236,7 +194,7 @@ ORACLES = {
     "e1_has_word_gap": f'WITH {WORDS_SQL}, g AS (SELECT cue_id, start - lag("end") OVER (PARTITION BY cue_id ORDER BY start, "end", word_id) > 1.0 AS gap FROM words_c) SELECT cue_id, coalesce(bool_or(gap), false) AS has_gap FROM g GROUP BY 1',
     "e2_split_word_gaps": f"""WITH {WORDS_SQL}, g AS (SELECT *, coalesce((start - lag("end") OVER (PARTITION BY cue_id ORDER BY start, "end", word_id) > 1.0)::INT, 0) AS cut FROM words_c), p AS (SELECT *, sum(cut) OVER (PARTITION BY cue_id ORDER BY start, "end", word_id ROWS UNBOUNDED PRECEDING)::INT AS part FROM g) SELECT cue_id, part, min(start) AS start, max("end") AS "end", count(*) AS words FROM p GROUP BY 1, 2""",
     "e5_trim_holds": f"""WITH {CUES_SQL} SELECT cue_id, round(CASE WHEN "end" - start > 6 AND "end" - start > {_SUNG} * 3 THEN least("end", greatest(start + 1.2::DOUBLE, start + {_SUNG} + 1.0)) ELSE "end" END, 6) AS "end" FROM cues_c""",
-    "e6_cap_runs": f"""WITH {CUES_SQL}, f AS (SELECT *, lower(trim(text)) AS fold FROM cues_c), l AS (SELECT *, coalesce((lag(fold) OVER ({_CO}) <> fold)::INT, 0) AS cut FROM f), i AS (SELECT *, sum(cut) OVER ({_CO} ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT cue_id, attempt_id FROM i QUALIFY row_number() OVER (PARTITION BY attempt_id, isl ORDER BY start, "end", cue_id) <= 3""",
+    "e6_cap_runs": f"""WITH {CUES_SQL}, f AS (SELECT *, lower(trim(text)) AS fold FROM cues_c), l AS (SELECT *, coalesce((lag(fold) OVER ({_CO}) <> fold)::INT, 0) AS cut FROM f), i AS (SELECT *, sum(cut) OVER ({_CO} ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT cue_id, attempt_id FROM i QUALIFY row_number() OVER (PARTITION BY attempt_id, isl ORDER BY start, "end", cue_id) <= 12""",
     "e7_min_display": f"""WITH {CUES_SQL}, n AS (SELECT *, lead(start) OVER ({_CO}) AS nxt FROM cues_c) SELECT cue_id, round(greatest(start, least(greatest("end", start + 1.2::DOUBLE), coalesce(nxt, greatest("end", start + 1.2::DOUBLE)))), 6) AS "end" FROM n""",
     "e9_monotone_words": f"""WITH {WORDS_SQL}, c AS (SELECT word_id, "end", max(start) OVER (PARTITION BY cue_id ORDER BY word_ix, word_id ROWS UNBOUNDED PRECEDING) AS s FROM words_c) SELECT word_id, s AS start, greatest("end", s) AS "end" FROM c""",
     "e10_spread_words": f"WITH {CUES_SQL}, src AS (SELECT * FROM cues_c), {_SPREAD} SELECT * FROM spread",
@@ -257,22 +215,21 @@ sn AS (SELECT *, min(anchor) OVER (PARTITION BY run_id, zone, isl) AS since FROM
 SELECT run_id, chord, min(anchor) AS shown_at FROM sn WHERE anchor - since >= 0.25 GROUP BY run_id, zone, isl, chord""",
     "d13_longest_run": f"""WITH {CUES_SQL}, {WORDS_SQL}, b AS (SELECT c.*, c.cue_id NOT IN (SELECT cue_id FROM words_c WHERE cue_id IS NOT NULL) AS bare FROM cues_c c), l AS (SELECT *, coalesce((lag(bare) OVER ({_CO}) <> bare)::INT, 0) AS cut FROM b), i AS (SELECT *, sum(cut) OVER ({_CO} ROWS UNBOUNDED PRECEDING) AS isl FROM l), r AS (SELECT attempt_id, isl, count(*) AS n FROM i WHERE bare GROUP BY 1, 2) SELECT attempt_id, max(n) AS longest FROM r GROUP BY 1""",
     "d9_weighted_score": f"WITH {_SCORE} SELECT * FROM sc",
-    "d10_choose_attempt": f"""WITH {_SCORE}, a AS (SELECT x.attempt_id, x.song_id, sc.covered, sc.score, row_number() OVER (PARTITION BY x.song_id ORDER BY x.attempt_id) AS n FROM (SELECT DISTINCT attempt_id, song_id FROM attempts) x LEFT JOIN sc USING (attempt_id)),
-p AS (SELECT song_id, max(attempt_id) FILTER (n = 1) AS p, max(attempt_id) FILTER (n = 2) AS q, max(covered) FILTER (n = 1) AS pc, max(covered) FILTER (n = 2) AS qc, max(score) FILTER (n = 1) AS ps, max(score) FILTER (n = 2) AS qs FROM a WHERE n <= 2 GROUP BY 1),
-r AS (SELECT *, CASE WHEN q IS NULL THEN 'single' WHEN qc IS NULL THEN 'empty' WHEN pc IS NULL THEN 'empty+' WHEN qc < pc * 0.6::DOUBLE THEN 'coverage' WHEN pc < qc * 0.6::DOUBLE THEN 'coverage+' WHEN qs > ps + 0.05::DOUBLE THEN 'score+' WHEN ps > qs + 0.05::DOUBLE THEN 'score' ELSE 'tie' END AS r FROM p)
-SELECT song_id, CASE WHEN r LIKE '%+' THEN q ELSE p END AS attempt_id, rtrim(r, '+') AS reason FROM r""",
+    "d10_choose_attempt": f"""WITH RECURSIVE {_SCORE}, a AS (SELECT x.attempt_id, x.song_id, sc.covered AS c, sc.score AS s, row_number() OVER (PARTITION BY x.song_id ORDER BY x.attempt_id) AS n FROM (SELECT DISTINCT attempt_id, song_id FROM attempts) x LEFT JOIN sc USING (attempt_id)),
+f AS (SELECT song_id, n, attempt_id, c, s, 'single' AS reason FROM a WHERE n = 1 UNION ALL
+ SELECT song_id, n, CASE WHEN take THEN other ELSE attempt_id END, CASE WHEN take THEN oc ELSE c END, CASE WHEN take THEN os ELSE s END, why FROM (
+  SELECT f.song_id, a.n, f.attempt_id, f.c, f.s, a.attempt_id AS other, a.c AS oc, a.s AS os,
+   CASE WHEN a.c IS NULL OR f.c IS NULL THEN 'empty' WHEN a.c < f.c * 0.6::DOUBLE OR f.c < a.c * 0.6::DOUBLE THEN 'coverage' WHEN a.s > f.s + 0.05::DOUBLE OR f.s > a.s + 0.05::DOUBLE THEN 'score' ELSE 'tie' END AS why,
+   CASE WHEN a.c IS NULL OR f.c IS NULL THEN a.c IS NOT NULL WHEN a.c < f.c * 0.6::DOUBLE OR f.c < a.c * 0.6::DOUBLE THEN a.c >= f.c * 0.6::DOUBLE ELSE a.s > f.s + 0.05::DOUBLE END AS take
+  FROM f JOIN a ON a.song_id = f.song_id AND a.n = f.n + 1))
+SELECT song_id, attempt_id, reason FROM f QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY n DESC) = 1""",
     "d14_word_span": f'WITH {WORDS_SQL} SELECT cue_id, min(start) AS start, max("end") AS "end", bool_and("end" > start) AS all_timed FROM words_c GROUP BY 1',
     "d15_used_fraction": f"WITH {CUES_SQL}, {WORDS_SQL} SELECT attempt_id, round(count(*) FILTER (cue_id IN (SELECT cue_id FROM words_c)) / count(*), 4) AS fraction FROM cues_c GROUP BY 1",
     "d19_rate": f"""WITH {CUES_SQL}, c AS (SELECT attempt_id, count(*) AS n, min(start) AS a, max("end") AS b, sum({_WEIGHT("text")}) AS chars FROM cues_c GROUP BY 1) SELECT attempt_id, CASE WHEN n < 2 THEN 0.09 ELSE round(greatest(0.02::DOUBLE, least(0.5::DOUBLE, (b - a) / chars)), 6) END AS rate FROM c""",
     "d20_readiness": "WITH a AS (SELECT DISTINCT attempt_id, song_id, language_confidence FROM attempts) SELECT song_id, bool_and(coalesce(language_confidence BETWEEN 0 AND 1 AND NOT isnan(language_confidence), false)) AS all_ready, bool_or(coalesce(language_confidence BETWEEN 0 AND 1 AND NOT isnan(language_confidence), false)) AS any_ready FROM a GROUP BY 1",
     "a32_order_violations": f"WITH {CUES_SQL}, b AS (SELECT attempt_id, lag(start) OVER (PARTITION BY attempt_id ORDER BY cue_id) > start AS back FROM cues_c) SELECT attempt_id, count(*) FILTER (back) AS violations FROM b GROUP BY 1",
-    "b4_clean_cues": f"""WITH {CUES_SQL} SELECT cue_id, greatest(start, 0.0::DOUBLE) AS start, least(greatest("end", start + 0.05::DOUBLE), 120.0::DOUBLE) AS "end" FROM cues_c WHERE start < 120""",
+    "b4_clean_cues": f"""WITH {CUES_SQL}, s AS (SELECT attempt_id, min(song_id) AS song_id FROM attempts GROUP BY 1), k AS (SELECT song_id, max(duration) AS d FROM media_metadata WHERE isfinite(duration) AND duration > 0 GROUP BY 1), j AS (SELECT c.*, k.d FROM cues_c c LEFT JOIN s USING (attempt_id) LEFT JOIN k USING (song_id))
+SELECT cue_id, greatest(start, 0.0::DOUBLE) AS start, least(greatest("end", start + 0.05::DOUBLE), coalesce(d, 'infinity'::DOUBLE)) AS "end" FROM j WHERE d IS NULL OR start < d""",
     "b7_runaway_repetition": rf"""WITH {CUES_SQL}, w AS (SELECT cue_id, unnest(string_split_regex(lower(trim(text)), '\s+')) AS tok, generate_subscripts(string_split_regex(lower(trim(text)), '\s+'), 1) AS ix FROM cues_c), l AS (SELECT *, coalesce((lag(tok) OVER (PARTITION BY cue_id ORDER BY ix) <> tok)::INT, 0) AS cut FROM w), i AS (SELECT *, sum(cut) OVER (PARTITION BY cue_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS isl FROM l), r AS (SELECT cue_id, isl, count(*) AS n FROM i GROUP BY 1, 2) SELECT cue_id, max(n) AS repeats FROM r GROUP BY 1""",
-    "s7_watermark": "WITH e AS (SELECT event_type, epoch_us(ts) < max(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 3600000000 AS late FROM events) SELECT event_type, count(*) AS events, count(*) FILTER (late) AS late FROM e GROUP BY 1",
     "s9_wraps": "WITH e AS (SELECT user_id, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - value > 0.25, false) AS wrap FROM events), g AS (SELECT user_id, count(*) FILTER (wrap) AS wraps FROM e GROUP BY 1) SELECT user_id, wraps, round(least(1.0::DOUBLE, 0.5::DOUBLE + wraps * 0.05::DOUBLE), 6) AS rate FROM g",
-    "s10_drift": "WITH e AS (SELECT event_type, (value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 100 AS drift FROM events) SELECT event_type, count(*) FILTER (abs(drift) > 0.12::DOUBLE) AS seeks, round(avg(CASE WHEN abs(drift) <= 0.12::DOUBLE THEN greatest(0.985::DOUBLE, least(1.015::DOUBLE, 1 - drift * 0.18::DOUBLE)) END), 6) AS mean_rate FROM e WHERE drift IS NOT NULL GROUP BY 1",
-    "s12_loop_edits": "SELECT user_id, min(value) AS loop_start, CASE WHEN max(value) - min(value) >= 0.25 THEN max(value) ELSE min(value) + 1.0 END AS loop_end FROM events GROUP BY 1",
-    "s13_edge_events": f"WITH {CUES_SQL} SELECT attempt_id, CAST(floor(start / 0.5::DOUBLE) AS BIGINT) AS tick, least(count(*), 12) AS onsets FROM cues_c GROUP BY 1, 2",
-    "s15_mute_solo": "WITH e AS (SELECT vec_id, label = 0 AS solo, vec_id % 2 = 1 AS muted, bool_or(label = 0) OVER (PARTITION BY vec_id // 64) AS any_solo FROM embeddings) SELECT vec_id, CASE WHEN muted THEN false WHEN any_solo THEN solo ELSE true END AS audible FROM e",
-    "s5_block_mix": "WITH e AS (SELECT vec_id // 16 AS block, generate_subscripts(embedding, 1)::INT - 1 AS frame, unnest(embedding) AS sample FROM embeddings) SELECT block, frame, round(sum(sample::DOUBLE), 4) AS mix FROM e GROUP BY 1, 2",
 }

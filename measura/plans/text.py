@@ -76,10 +76,6 @@ def b6_phantom_phrases(spark, d):
     return _cues(spark, d).select("cue_id", ((bare == "") | bare.isin(*stock) | bare.contains("amara org")).alias("phantom"))
 
 
-def b19_valid_utf8(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").groupBy("doc_kind").agg(F.count_if(F.is_valid_utf8("text")).alias("valid"), F.count("*").alias("documents"))
-
-
 def a8_digests(spark, d):
     return _lyrics(spark, d).where("text IS NOT NULL").select("lyrics_id", F.sha2("text", 256).alias("sha256"))
 
@@ -122,7 +118,7 @@ def h9_pair_score(spark, d):
 def h10_line_rules(spark, d):
     """Whether a line ends a sentence, continues the line before or extends it, and the time its words take."""
     p = _pairs(spark, d)
-    return p.select("cue_id", (~F.rtrim("before").rlike(r"[.!?…]$")).alias("open"), (F.col("text").rlike(r"^[a-z]") | F.rtrim("before").rlike("[,\\-–—…;:]$")).alias("continues"), F.col("text").startswith(F.concat("before", F.lit(" "))).alias("extends"), F.round(F.lit(0.35) + F.size(F.split(F.trim("text"), r"\s+")) * F.lit(0.55), 6).alias("sung"))
+    return p.select("cue_id", (~F.rtrim("before").rlike(r"[.!?…]$")).alias("open"), (F.col("text").rlike(r"^\p{Ll}") | F.rtrim("before").rlike("[,\\-–—…;:]$")).alias("continues"), F.col("text").startswith(F.concat("before", F.lit(" "))).alias("extends"), F.round(F.lit(0.35) + F.size(F.split(F.trim("text"), r"\s+")) * F.lit(0.55), 6).alias("sung"))
 
 
 def h11_language_base(spark, d):
@@ -246,12 +242,12 @@ def a5_file_sizes(spark, d):
     return _media(spark, d).select("song_id", X.file_size(F.concat(F.col("song_id").cast("string"), unit)).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (a1_parse_source, a2_validate_url, a5_file_sizes, a8_digests, a17_bounded_text, a18_document_formats, a19_vtt_cues, a20_lrc_cues, a22_looks_like_lrc, a23_plain_cues, a26_embedded_cues, b6_phantom_phrases, b9_marker_lines, b19_valid_utf8, h1_display_line, h3_plain_text, h4_tokens, h6_levenshtein, h7_similarity, h8_letter_mask, h9_pair_score, h10_line_rules, h11_language_base, h12_tag_keys, h13_receipts, h14_redaction, h15_tuning_labels, h16_roman, h18_aligned_source, h19_size_labels, h21_clock_seconds, h22_clock_text, h24_utc_text, h25_fret_geometry, h28_inlays, h29_string_widths, h30_display_points, h31_note_life, h32_weights, h33_decimals)}
+QUERIES = {f.__name__: f for f in (a1_parse_source, a2_validate_url, a5_file_sizes, a8_digests, a17_bounded_text, a18_document_formats, a19_vtt_cues, a20_lrc_cues, a22_looks_like_lrc, a23_plain_cues, a26_embedded_cues, b6_phantom_phrases, b9_marker_lines, h1_display_line, h3_plain_text, h4_tokens, h6_levenshtein, h7_similarity, h8_letter_mask, h9_pair_score, h10_line_rules, h11_language_base, h12_tag_keys, h13_receipts, h14_redaction, h15_tuning_labels, h16_roman, h18_aligned_source, h19_size_labels, h21_clock_seconds, h22_clock_text, h24_utc_text, h25_fret_geometry, h28_inlays, h29_string_widths, h30_display_points, h31_note_life, h32_weights, h33_decimals)}
 
 _LY = "ly AS (SELECT DISTINCT lyrics_id, song_id, tag, origin, language_code, text FROM embedded_lyrics)"
 _ME = "me AS (SELECT song_id, any_value(title) AS title, any_value(artist) AS artist FROM media_metadata GROUP BY 1)"
 _CU = "cu AS (SELECT DISTINCT cue_id, attempt_id, text FROM raw_cues WHERE text IS NOT NULL)"
-_PA = _CU + r", pa AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY attempt_id ORDER BY cue_id) AS before FROM cu WHERE regexp_full_match(text, '[\x20-\x7E]+')) WHERE before IS NOT NULL)"
+_PA = _CU + r", pa AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY attempt_id ORDER BY cue_id) AS before FROM cu) WHERE before IS NOT NULL)"
 _LINES = lambda src, key: rf"lines AS (SELECT {key}, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) - 1 AS line_ix FROM {src} WHERE text IS NOT NULL)"
 _PLAIN = lambda c: rf"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"
 _ISLRC = lambda c: rf"(len(list_filter(string_split_regex({c}, '\r?\n'), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(string_split_regex({c}, '\r?\n'), lambda x: trim(x) <> '' AND regexp_matches(x, '^\s*\[\d{{1,3}}:\d{{1,2}}(\.\d{{1,3}})?\]'))) >= 2 AND len(list_filter(string_split_regex({c}, '\r?\n'), lambda x: trim(x) <> '' AND regexp_matches(x, '^\s*\[\d{{1,3}}:\d{{1,2}}(\.\d{{1,3}})?\]'))) * 2 >= len(list_filter(string_split_regex({c}, '\r?\n'), lambda x: trim(x) <> '')))"
@@ -259,7 +255,6 @@ _LRC = rf"""st AS (SELECT key, line_ix, regexp_extract_all(line, '\[(\d{{1,3}}:\
 ex AS (SELECT key, line_ix, text, unnest(stamps) AS stamp, generate_subscripts(stamps, 1) AS stamp_ix FROM st WHERE len(stamps) > 0 AND text <> ''),
 se AS (SELECT *, CAST(split_part(stamp, ':', 1) AS DOUBLE) * 60 + CAST(split_part(stamp, ':', 2) AS DOUBLE) AS start FROM ex),
 lrc AS (SELECT key, start, greatest(start + 0.05::DOUBLE, coalesce(lead(start) OVER (PARTITION BY key ORDER BY start, text, line_ix, stamp_ix), least(600.0::DOUBLE, start + 5))) AS "end", text FROM se)"""
-_SIM = """CASE WHEN before = text THEN 1.0 ELSE 0.75::DOUBLE * (1 - levenshtein(left(before, 32), left(text, 32)) / greatest(length(left(before, 32)), length(left(text, 32)))) + 0.25::DOUBLE * 2 * len(list_filter(range(1, 33), lambda i: i <= least(length(before), length(text)) AND left(before, i) = left(text, i))) / (length(left(before, 32)) + length(left(text, 32))) END"""
 _ALIAS = ", ".join(f"('{three}', '{two}')" for two, threes in X.LANGUAGE_ALIASES.items() for three in threes.split())
 _GIVEN = f"""{_ME}, gv AS (SELECT song_id, CASE song_id % 8 WHEN 0 THEN 'https://youtu.be/' || song_id WHEN 1 THEN 'https://www.youtube.com/watch?v=' || song_id || '&list=PL' || song_id WHEN 2 THEN 'https://www.youtube.com/playlist?list=PL' || song_id WHEN 3 THEN 'http://youtu.be/' || song_id WHEN 4 THEN 'https://user:pw@youtube.com/watch?v=' || song_id WHEN 5 THEN 'https://youtube.com:8443/watch?v=' || song_id WHEN 6 THEN 'file:///music/' || song_id || '.mp3' ELSE '/music/' || song_id || '.flac' END AS value FROM me)"""
 _ROMAN = "['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV','XVI','XVII','XVIII','XIX','XX','XXI','XXII','XXIII','XXIV']"
@@ -281,15 +276,10 @@ SELECT doc_id, coalesce(CAST(p[3] AS DOUBLE), 0) * 3600 + CAST(p[2] AS DOUBLE) *
     "a26_embedded_cues": f"WITH {_LY}, t AS (SELECT *, {_ISLRC('text')} AS is_lrc FROM ly WHERE trim(text) <> ''), src AS (SELECT lyrics_id AS key, text FROM t), {_LINES('src', 'key')}, {_LRC} SELECT key AS lyrics_id, count(*) AS cues, 'lrc' AS format FROM lrc WHERE key IN (SELECT lyrics_id FROM t WHERE is_lrc) GROUP BY 1 UNION ALL SELECT key, count(*), 'plain' FROM lines WHERE key IN (SELECT lyrics_id FROM t WHERE NOT is_lrc) AND {_PLAIN('line')} <> '' GROUP BY 1",
     "b6_phantom_phrases": f"WITH {_CU}, f AS (SELECT cue_id, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS bare FROM cu) SELECT cue_id, bare = '' OR bare IN ('thanks for watching', 'thank you for watching', 'please subscribe to my channel', 'subscribe to my channel', 'don t forget to subscribe', 'like and subscribe', 'please like and subscribe', 'ご視聴ありがとうございました', 'продолжение следует') OR contains(bare, 'amara org') AS phantom FROM f",
     "b9_marker_lines": rf"WITH {_LY}, {_LINES('ly', 'lyrics_id')} SELECT lyrics_id, count(*) FILTER (regexp_matches(trim(line), '^\[[^\[\]]*\]$') OR regexp_matches(lower(trim(line)), '^\(\s*(bridge|breakdown|chorus|coda|hook|instrumental|interlude|intro|outro|prechorus|refrain|repeat|solo|spoken|vamp|verse)([^\p{{L}}\p{{N}}''()][^()]*)?\)$')) AS markers FROM lines GROUP BY 1",
-    "b19_valid_utf8": "SELECT doc_kind, count(*) AS valid, count(*) AS documents FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "h1_display_line": f"WITH {_ME} SELECT song_id, left(trim(regexp_replace(title, '[\\p{{C}}\\p{{Z}}]+', ' ', 'g')), 24) AS line FROM me WHERE title IS NOT NULL",
     "h3_plain_text": f"WITH {_CU}, x AS (SELECT cue_id, '<i>' || text || '</i> &amp; &lt;b&gt;' AS t FROM cu) SELECT cue_id, {_PLAIN('t')} AS plain FROM x",
-    "h4_tokens": f"WITH {_CU} SELECT cue_id, array_to_string(regexp_extract_all(replace(replace(lower(text), '’', ''''), '&', ' and '), '[\\p{{L}}\\p{{N}}'']+', 0), ' ') AS tokens FROM cu",
-    "h6_levenshtein": f"WITH {_PA} SELECT cue_id, levenshtein(before, text)::INT AS distance FROM pa",
-    "h7_similarity": f"WITH {_PA} SELECT cue_id, round({_SIM}, 6) AS similarity FROM pa",
-    "h8_letter_mask": f"WITH {_PA}, c AS (SELECT cue_id, unnest(string_split(text, '')) AS ch FROM pa) SELECT cue_id, bit_or(1::BIGINT << (ascii(ch) % 63)) AS mask FROM c GROUP BY 1",
-    "h9_pair_score": f"WITH {_PA} SELECT cue_id, round(2 * -0.6::DOUBLE + 4.4::DOUBLE * ({_SIM} - 0.5::DOUBLE), 6) AS score FROM pa",
-    "h10_line_rules": rf"WITH {_PA} SELECT cue_id, NOT regexp_matches(rtrim(before), '[.!?…]$') AS open, regexp_matches(text, '^[a-z]') OR regexp_matches(rtrim(before), '[,\-–—…;:]$') AS continues, starts_with(text, before || ' ') AS extends, round(0.35::DOUBLE + len(string_split_regex(trim(text), '\s+')) * 0.55::DOUBLE, 6) AS sung FROM pa",
+    "h8_letter_mask": f"WITH {_PA}, c AS (SELECT cue_id, unnest(string_split(text, '')) AS ch FROM pa) SELECT cue_id, bit_or(CASE WHEN ch = '' THEN 0 ELSE 1::BIGINT << (ascii(ch) % 63) END) AS mask FROM c GROUP BY 1",
+    "h10_line_rules": rf"WITH {_PA} SELECT cue_id, NOT regexp_matches(rtrim(before), '[.!?…]$') AS open, regexp_matches(text, '^\p{{Ll}}') OR regexp_matches(rtrim(before), '[,\-–—…;:]$') AS continues, starts_with(text, before || ' ') AS extends, round(0.35::DOUBLE + len(string_split_regex(trim(text), '\s+')) * 0.55::DOUBLE, 6) AS sung FROM pa",
     "h11_language_base": f"WITH {_LY}, alias(three, two) AS (VALUES {_ALIAS}), b AS (SELECT lyrics_id, regexp_extract(lower(trim(language_code)), '^([a-z]{{2,3}})(?:[-_].*)?$', 1) AS base FROM ly) SELECT lyrics_id, coalesce(two, base, '') AS base FROM b LEFT JOIN alias ON three = base",
     "h12_tag_keys": f"WITH {_LY}, k AS (SELECT lyrics_id, lower(trim(tag)) AS k FROM ly) SELECT lyrics_id, regexp_extract(k, '^(unsyncedlyrics|syncedlyrics|lyrics)(?:[-_].*)?$', 1) AS family, CASE WHEN regexp_extract(k, '^(?:unsyncedlyrics|syncedlyrics|lyrics)[-_]([a-z]{{2,3}}(?:-(?:[a-z]{{4}}|[a-z]{{2}}|[0-9]{{3}}))?)$', 1) = '' THEN 'unknown' ELSE regexp_extract(k, '^(?:unsyncedlyrics|syncedlyrics|lyrics)[-_]([a-z]{{2,3}}(?:-(?:[a-z]{{4}}|[a-z]{{2}}|[0-9]{{3}}))?)$', 1) END AS language FROM k",
     "h13_receipts": "SELECT DISTINCT attempt_id, concat_ws(';', 'decoder:base', 'audio=' || audio_source, 'lang=' || coalesce(language_code, ''), 'lang_from=' || language_from) AS receipt, 'base' AS model, audio_source AS audio, language_from AS lang_from FROM attempts",

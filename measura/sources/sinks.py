@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,25 @@ def write_tab(positions: DataFrame, path: str, key: str, group: str, tuning: tup
     docs.write.mode("overwrite").json(path)
 
 
+TAB = "{key} {kind}, events array<struct<start: double, positions: array<struct<string: int, fret: int, pitch: int>>>>, n_events long, tuning struct<midi: array<int>, max_fret: int>"
+
+
+def read_tabs(spark: SparkSession, path: str, key: str, kind: str = "long") -> DataFrame:
+    """(key, start, string, fret, pitch, reject) of the tabs that ``write_tab`` wrote: one row a position.
+
+    A tab is taken whole or not at all: one without its key, events or tuning, or with a position that doesn't give back its
+    pitch, gives one row with the reason in ``reject``.
+    """
+    docs = spark.read.schema(TAB.format(key=key, kind=kind)).json(path)
+    flat = F.flatten(F.transform("events", lambda e: F.transform(e["positions"], lambda p: F.struct(e["start"].alias("start"), p["string"].alias("string"), p["fret"].alias("fret"), p["pitch"].alias("pitch")))))
+    open_ = lambda p: F.try_element_at("tuning.midi", p["string"] + 1)
+    sound = F.forall(flat, lambda p: F.coalesce((p["fret"] >= 0) & (p["fret"] <= F.col("tuning.max_fret")) & (open_(p) + p["fret"] == p["pitch"]), F.lit(False)))
+    whole = F.col(key).isNotNull() & F.col("events").isNotNull() & F.col("tuning.midi").isNotNull() & (F.size("events") == F.col("n_events"))
+    reject = F.when(~F.coalesce(whole, F.lit(False)), "incomplete").when(~sound, "unsound position")
+    kept = docs.withColumns({"reject": reject, "p": F.explode_outer(F.when(reject.isNull(), flat))})
+    return kept.select(key, "p.start", "p.string", "p.fret", "p.pitch", "reject").where("reject IS NOT NULL OR start IS NOT NULL")
+
+
 def save_ledger(records: DataFrame, path: str) -> None:
     """The ledger, one partition for each stage; only the partitions that ``records`` holds are replaced."""
     records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage").parquet(path)

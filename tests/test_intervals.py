@@ -85,3 +85,29 @@ def test_summaries_hold_for_a_scan_read_in_fewer_tasks(spark):
     want = {r[1]: n for n, r in enumerate(sorted((r.h, r.id) for r in df.collect()), 1)}
     got = numbered(df, ["h", "id"], "id", "place")
     assert {r.id: r.place for r in got.coalesce(1).collect()} == want
+
+
+def test_prefix_maximum_over_partitions(spark):
+    from measura.operators.intervals import prefix_max
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice([None, *range(500)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "kind string, id long, v long").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    got = {r.id: r.reach for r in prefix_max(df, ["kind"], ["id"], "v", "reach").coalesce(2).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, top = {}, {}
+    for kind, i, v in rows:
+        if v is not None:
+            want[i] = top[kind] = max(v, top.get(kind, v))
+    assert got == want
+    assert prefix_max(df.limit(0), ["kind"], ["id"], "v", "reach").count() == 0
+
+
+def test_loops_after_edits(spark):
+    from measura.operators.sequences import edit_loops
+
+    rows = [(1, "click", 4.0), (1, "view", 6.0), (2, "view", 0.1), (3, "click", 4.0), (3, "view", 4.2), (4, "click", 1.0), (4, "signup", 9.0), (5, "view", 3.0), (5, "click", 5.0)]
+    df = spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1)
+    got = {r.user_id: tuple(r)[1:] for r in df.mapInArrow(edit_loops(0.25, 1.0), "user_id long, loop_start double, loop_end double, active boolean, refused long").collect()}
+    assert got == {1: (4.0, 6.0, True, 0), 2: (0.0, 0.1, False, 1), 3: (4.0, 4.2, False, 1), 4: (0.0, 0.0, False, 0), 5: (5.0, 6.0, True, 0)}
