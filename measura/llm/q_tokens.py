@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from measura.llm.bpe import encode_corpus, token_count
+from measura.llm.bpe import encode_corpus, token_count, vocabulary_path
 from measura.llm.packing import pack
 from measura.session import table
 
@@ -15,6 +15,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_multi_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) by the byte-level vocabulary for many languages."""
+    return encode_corpus(table(spark, sf_dir, "documents"), path=vocabulary_path(name="byte_bpe_multi_50k.tiktoken"))
+
+
+def p7_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) by the vocabulary of lower-case words."""
+    return encode_corpus(table(spark, sf_dir, "documents"), path=vocabulary_path(name="word_bpe_49k.json"))
+
+
+def p7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) by the vocabulary of pieces with byte fallback."""
+    return encode_corpus(table(spark, sf_dir, "documents"), path=vocabulary_path(name="piece_bpe_32k.model"))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pack_name, container_id, doc_id, piece_ix, from_token, to_token) for each capacity of pack_limits."""
     limits = table(spark, sf_dir, "pack_limits").orderBy("pack_name").collect()  # a fixed table of a few rows
@@ -31,5 +46,5 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(limits, "pack_name").select("pack_name", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("fill"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill}
+QUERIES = {"p7_ids": p7_ids, "p7_multi_ids": p7_multi_ids, "p7_word_ids": p7_word_ids, "p7_piece_ids": p7_piece_ids, "p8_packed": p8_packed, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}

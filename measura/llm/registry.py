@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from importlib import import_module
 
@@ -14,7 +15,11 @@ def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     oracles: dict[str, str] = {}
     for name in MODULES:
-        m = import_module(f"measura.llm.{name}")
+        try:
+            m = import_module(f"measura.llm.{name}")
+        except ImportError as e:  # a library that this module needs isn't there
+            warnings.warn(f"queries of {name} are left out: {e}", stacklevel=2)
+            continue
         queries |= m.QUERIES
         oracles |= m.ORACLES
     return queries, oracles

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from measura.llm.bpe import SegmentTreeBpe, decoded, encode_corpus, token_count, vocabulary_path
+from measura.llm.bpe import PATTERN, PieceBpe, SegmentTreeBpe, WordBpe, decoded, encode_corpus, token_count, vocabulary_path
 from measura.llm.packing import Packer, pack, split_sizes
 
 pytestmark = pytest.mark.skipif(not os.path.exists(vocabulary_path()), reason="no vocabulary files")
@@ -44,6 +44,27 @@ def test_against_the_public_library(bpe):
     assert [bpe.encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def _texts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n\r\tÉé日 ,.1's​\x1cΣς🙏<▁") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    return [*texts, "", "Don't  STOP\n now", "a" * 500, "<|endoftext|> <s> </s> <unk> <0x0A>", "İstanbul ΟΔΟΣ", " " * 40 + "x", "The river runs past the tin roof; наш путь, 銅のランプ"]
+
+
+def test_the_other_vocabularies_against_their_libraries():
+    tiktoken, tokenizers, sentencepiece = (pytest.importorskip(m) for m in ("tiktoken", "tokenizers", "sentencepiece"))
+    texts, at = _texts(), lambda name: vocabulary_path(name=name)
+    many = SegmentTreeBpe.load(at("byte_bpe_multi_50k.tiktoken"))
+    public = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=many.ranks, special_tokens={})
+    assert [many.encode(t) for t in texts] == [public.encode_ordinary(t) for t in texts]
+    words = tokenizers.Tokenizer.from_file(at("word_bpe_49k.json"))
+    words.encode_special_tokens = True
+    own = WordBpe.load(at("word_bpe_49k.json"))
+    assert [own.encode(t) for t in texts] == [e.ids for e in words.encode_batch(texts, add_special_tokens=False)]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=at("piece_bpe_32k.model"))
+    own = PieceBpe.load(at("piece_bpe_32k.model"))
+    assert [own.encode(t) for t in texts] == pieces.encode(texts, num_threads=1)
+
+
 def test_corpus_round_trip_nulls_and_repeats(spark):
     rows = [(1, "It's raining\non the tin roof", "x"), (2, None, "y"), (3, "", None), (1, "It's raining\non the tin roof", "x"), (4, "é日" * 500, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
