@@ -6,11 +6,13 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from importlib import import_module
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="measura", description="Interval and sequence analytics on Spark")
     sub = p.add_subparsers(dest="command", required=True)
+    p.add_argument("--registry", action="append", default=[], help="module with further queries (a collect function), such as the registry of a subpackage")
     sub.add_parser("list", help="names of the registered queries")
     sub.add_parser("options", help="options of a run as JSON")
     sub.add_parser("doctor", help="versions of what is installed")
@@ -47,6 +49,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     from measura.plans.registry import collect
 
     queries = collect()[0]
+    for name in a.registry:
+        queries |= import_module(name).collect()[0]
     if a.command == "list":
         print("\n".join(sorted(queries)))
         return 0

@@ -17,6 +17,7 @@ def build_session(app: str = "measura", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files of checkpoints that nothing refers to any more
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(app).config(map=settings)
     if master:

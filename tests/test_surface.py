@@ -22,6 +22,7 @@ def test_cli(capsys):
     assert cli.main(["list"]) == 0 and "j1_cue_at" in capsys.readouterr().out.split()
     assert cli.main(["options"]) == 0 and json.loads(capsys.readouterr().out)
     assert cli.main(["run", "no_such_query", "/nowhere"]) == 2
+    assert cli.main(["--registry", "measura.plans.registry", "list"]) == 0
 
 
 def test_tab_and_state(spark):
