@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measura.config import EngineConfig
@@ -13,6 +15,7 @@ from measura.operators import ledger as L
 from measura.operators import notes as N
 from measura.operators.alignment import align_pairs
 from measura.operators.fingering import fingerings
+from measura.session import cut
 
 
 def infer_tab(notes: DataFrame, key: str = "run_id", config: EngineConfig | None = None) -> DataFrame:
@@ -49,3 +52,48 @@ def work_left(wanted: DataFrame, ledger: DataFrame, key: str, *inputs: str) -> D
     """Stages of ``wanted`` (key, stage, inputs...) that a resumed run still has to do: no done entry has their fingerprint."""
     marked = wanted.withColumn("fingerprint", L.fingerprint("stage", *inputs))
     return L.to_run(marked, ledger, key)
+
+
+def run_stages(spark: SparkSession, inputs: DataFrame, key: str, stages: Mapping[str, Callable[[DataFrame, str], DataFrame]], folder: str) -> list[str]:
+    """Run the stages of a project in order, each for the projects that still need it; the names of those that had work.
+
+    ``inputs`` is (key, fingerprint columns...). A stage gets the keys it has to do and the folder, and its result is written below
+    ``folder/stage``, replacing that of these keys. What is done is noted in ``folder/ledger`` with the fingerprint of the inputs, so a run that
+    was cut off, or one with new inputs, goes on where it has to; a stage that runs makes all later ones run.
+    """
+    columns = [c for c in inputs.columns if c != key]
+    ledger, ran = os.path.join(folder, "ledger"), []
+    names = list(stages)
+    for name in names:
+        try:
+            done = cut(spark.read.parquet(ledger))
+        except AnalysisException:  # nothing was done yet
+            done = spark.createDataFrame([], f"{key} {dict(inputs.dtypes)[key]}, fingerprint string, status string, stage string")
+        wanted = inputs.select(key, F.lit(name).alias("stage"), *columns)
+        todo = cut(work_left(wanted, done, key, *columns))
+        if todo.isEmpty():
+            continue
+        ran.append(name)
+        where = os.path.join(folder, name)
+        new = cut(stages[name](todo.select(key), folder))
+        try:
+            new = cut(spark.read.parquet(where).join(todo.select(key), key, "left_anti").unionByName(new))
+        except AnalysisException:
+            pass
+        new.write.mode("overwrite").parquet(where)
+        later = names[names.index(name) :]
+        kept = done.join(todo.select(key, F.explode(F.array(*map(F.lit, later))).alias("stage")), [key, "stage"], "left_anti")
+        now = todo.select(key, "fingerprint", F.lit("done").alias("status"), F.lit(name).alias("stage"))
+        cut(kept.select(key, "fingerprint", "status", "stage").unionByName(now)).write.mode("overwrite").parquet(ledger)
+    return ran
+
+
+def corrected(base: DataFrame, edits: DataFrame, keys: Sequence[str], revision: str, value: str, at: str) -> DataFrame:
+    """``base`` with ``value`` replaced by the latest edit of its keys and revision, and ``corrected``; an edit of another revision is stale and left out.
+
+    ``edits`` is (keys, revision, value, at); a null value takes the value away, edits of one instant are told apart by the greater value.
+    """
+    by = [*keys, revision]
+    latest = edits.groupBy(*by).agg(F.max(F.struct(F.col(at), F.col(value).alias("__new")))["__new"].alias("__new"), F.lit(True).alias("__hit"))
+    hit = F.coalesce("__hit", F.lit(False))
+    return base.join(latest, by, "left").withColumn(value, F.when(hit, F.col("__new")).otherwise(F.col(value))).withColumn("corrected", hit).drop("__new", "__hit")

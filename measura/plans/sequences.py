@@ -52,15 +52,24 @@ def e10_spread_words(spark, d):
 
 
 def e11_anchor_interpolation(spark, d):
-    """Starts of unsure words (every third) from the sure words around them, in proportion to their place."""
+    """Starts of unsure words (two of every four) laid out between the sure words around them, each by the letters it has.
+
+    A stretch shares the time from the end of the sure word before it to the start of the next by ``max(0.04, 0.09 a letter)``;
+    one without a next word runs on at that rate. No word starts before the one in front of it.
+    """
     w = W.partitionBy("cue_id").orderBy("start", "word_id")
     n = load_words(spark, d).withColumn("n", F.row_number().over(w))
-    sure = F.col("n") % 3 != 2
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    at, place = F.when(sure, F.col("start")), F.when(sure, F.col("n"))
-    n = n.withColumns({"a": F.last(at, ignorenulls=True).over(back), "i": F.last(place, ignorenulls=True).over(back), "b": F.first(at, ignorenulls=True).over(ahead), "j": F.first(place, ignorenulls=True).over(ahead)})
-    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("n") - F.col("i")) / (F.col("j") - F.col("i"))
-    return n.select("word_id", F.round(F.when(sure, F.col("start")).when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(between), 9).alias("start"))
+    sure = ~(F.col("n") % 4).isin(2, 3)
+    n = n.withColumns({"sure": sure, "size": F.when(sure, 0.0).otherwise(F.greatest(F.lit(0.04), S.weight(F.col("text")) * 0.09))})
+    n = n.withColumn("stretch", F.count_if("sure").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    own = W.partitionBy("cue_id", "stretch")
+    n = n.withColumns({
+        "left": F.max(F.when(F.col("sure"), F.col("end"))).over(own), "right": F.first(F.when(F.col("sure"), F.col("start")), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        "total": F.sum("size").over(own), "done": F.sum("size").over(own.orderBy("start", "word_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"),
+    })
+    share = F.when(F.col("right").isNull(), F.col("done")).otherwise(F.greatest(F.lit(0.0), F.col("right") - F.col("left")) * F.col("done") / F.col("total"))
+    placed = n.withColumn("at", F.when(F.col("sure"), F.col("start")).otherwise(F.col("left") + share))
+    return placed.select("word_id", F.round(F.max("at").over(w.rowsBetween(W.unboundedPreceding, 0)), 6).alias("start"))
 
 
 def e12_displacement(spark, d):
@@ -198,9 +207,11 @@ ORACLES = {
     "e7_min_display": f"""WITH {CUES_SQL}, n AS (SELECT *, lead(start) OVER ({_CO}) AS nxt FROM cues_c) SELECT cue_id, round(greatest(start, least(greatest("end", start + 1.2::DOUBLE), coalesce(nxt, greatest("end", start + 1.2::DOUBLE)))), 6) AS "end" FROM n""",
     "e9_monotone_words": f"""WITH {WORDS_SQL}, c AS (SELECT word_id, "end", max(start) OVER (PARTITION BY cue_id ORDER BY word_ix, word_id ROWS UNBOUNDED PRECEDING) AS s FROM words_c) SELECT word_id, s AS start, greatest("end", s) AS "end" FROM c""",
     "e10_spread_words": f"WITH {CUES_SQL}, src AS (SELECT * FROM cues_c), {_SPREAD} SELECT * FROM spread",
-    "e11_anchor_interpolation": f"""WITH {WORDS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY start, word_id) AS n FROM words_c), m AS (SELECT *, CASE WHEN n % 3 <> 2 THEN start END AS fix, CASE WHEN n % 3 <> 2 THEN n END AS place FROM n),
-x AS (SELECT *, last_value(fix IGNORE NULLS) OVER b AS a, last_value(place IGNORE NULLS) OVER b AS i, first_value(fix IGNORE NULLS) OVER f AS b, first_value(place IGNORE NULLS) OVER f AS j FROM m WINDOW b AS (PARTITION BY cue_id ORDER BY start, word_id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY cue_id ORDER BY start, word_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT word_id, round(CASE WHEN n % 3 <> 2 THEN start WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE a + (b - a) * (n - i) / (j - i) END, 9) AS start FROM x""",
+    "e11_anchor_interpolation": f"""WITH {WORDS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY start, word_id) AS n FROM words_c), m AS (SELECT *, n % 4 NOT IN (2, 3) AS sure, CASE WHEN n % 4 IN (2, 3) THEN greatest(0.04::DOUBLE, {_WEIGHT("text")} * 0.09::DOUBLE) ELSE 0 END AS size FROM n),
+i AS (SELECT *, count(*) FILTER (sure) OVER (PARTITION BY cue_id ORDER BY start, word_id ROWS UNBOUNDED PRECEDING) AS stretch FROM m),
+x AS (SELECT *, max("end") FILTER (sure) OVER (PARTITION BY cue_id, stretch) AS l, first_value(CASE WHEN sure THEN start END IGNORE NULLS) OVER (PARTITION BY cue_id ORDER BY start, word_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r, sum(size) OVER (PARTITION BY cue_id, stretch) AS total, sum(size) OVER (PARTITION BY cue_id, stretch ORDER BY start, word_id ROWS UNBOUNDED PRECEDING) - size AS done FROM i),
+p AS (SELECT *, CASE WHEN sure THEN start WHEN r IS NULL THEN l + done ELSE l + greatest(0, r - l) * done / total END AS at_ FROM x)
+SELECT word_id, round(max(at_) OVER (PARTITION BY cue_id ORDER BY start, word_id ROWS UNBOUNDED PRECEDING), 6) AS start FROM p""",
     "e12_displacement": f"""WITH {CUES_SQL}, {WORDS_SQL} SELECT w.word_id, round(greatest(w.start - c."end", c.start - w.start, 0), 6) AS displacement FROM words_c w JOIN cues_c c USING (cue_id)""",
     "e13_least_span": f"""WITH {CUES_SQL}, n AS (SELECT *, lead(start) OVER ({_CO}) AS nxt, greatest("end", start + 0.05::DOUBLE) AS want FROM cues_c) SELECT cue_id, least(want, greatest(coalesce(nxt, want), start)) AS "end" FROM n""",
     "e15_latest_onset": f"""WITH RECURSIVE {CHORDS_SQL} SELECT run_id, CAST(floor(start) AS BIGINT) AS second, pitch % 12 AS pc, pitch, start FROM groups_c QUALIFY row_number() OVER (PARTITION BY run_id, floor(start), pitch % 12 ORDER BY start DESC, pitch DESC, "end" DESC) = 1""",

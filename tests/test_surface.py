@@ -7,6 +7,7 @@ import pytest
 from measura import api, cli
 from measura.config import EngineConfig, describe
 from measura.sources import midi, sinks
+from measura.sources.files import acquired, listing, sidecars
 
 
 def test_config_checks_ranges():
@@ -75,3 +76,41 @@ def test_sinks(spark, tmp_path):
     sinks.save_ledger(rec, str(tmp_path / "g"))
     sinks.save_ledger(rec.where("stage = 'lyrics'").withColumn("p", rec.p + 1), str(tmp_path / "g"))
     assert sorted((r.p, r.stage) for r in spark.read.parquet(str(tmp_path / "g")).collect()) == [(1, "export"), (2, "lyrics")]
+
+
+def test_stages_resume_where_they_have_to(spark, tmp_path):
+    calls = []
+
+    def stage(name):
+        def run(keys, folder):
+            calls.append((name, sorted(r.p for r in keys.collect())))
+            return keys.withColumn("made", keys.p * 10)
+
+        return run
+
+    stages = {n: stage(n) for n in ("lyrics", "tab")}
+    inputs = spark.createDataFrame([(1, "a"), (2, "b")], "p long, source string")
+    assert api.run_stages(spark, inputs, "p", stages, str(tmp_path)) == ["lyrics", "tab"]
+    assert api.run_stages(spark, inputs, "p", stages, str(tmp_path)) == []
+    changed = spark.createDataFrame([(1, "a"), (2, "new"), (3, "c")], "p long, source string")
+    assert api.run_stages(spark, changed, "p", stages, str(tmp_path)) == ["lyrics", "tab"]
+    assert calls == [("lyrics", [1, 2]), ("tab", [1, 2]), ("lyrics", [2, 3]), ("tab", [2, 3])]
+    assert sorted(r.p for r in spark.read.parquet(str(tmp_path / "tab")).collect()) == [1, 2, 3]
+
+
+def test_corrections_of_the_right_revision(spark):
+    base = spark.createDataFrame([(1, "r1", "a"), (2, "r1", "b"), (3, "r2", "c")], "k long, rev string, text string")
+    edits = spark.createDataFrame([(1, "r1", "A", 1), (1, "r1", "AA", 2), (3, "r1", "stale", 9), (2, "r1", None, 5)], "k long, rev string, text string, at int")
+    got = {r.k: (r.text, r.corrected) for r in api.corrected(base, edits, ["k"], "rev", "text", "at").collect()}
+    assert got == {1: ("AA", True), 2: (None, True), 3: ("c", False)}
+
+
+def test_files_are_listed_taken_and_ranked(spark, tmp_path):
+    for name, data in (("a/song.mp3", b"xx"), ("a/song.de.lrc", b"[00:01.00] la"), ("a/song.en-US.lrc", b"[00:01.00] la"), ("a/other.flac", b"y" * 50), ("a/other.lrc", b"x"), ("b/alone.mp3", b"z")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    files = listing(spark, str(tmp_path))
+    best = {r.media.rpartition("/")[2]: (r.lyrics.rpartition("/")[2], r["rank"]) for r in sidecars(files, "en").collect()}
+    assert best == {"song.mp3": ("song.en-US.lrc", 1), "other.flac": ("other.lrc", 0)}
+    got = {r.path.rpartition("/")[2]: (r.sha256 is not None, r.reject) for r in acquired(spark, str(tmp_path), 40).collect()}
+    assert got["other.flac"] == (False, "too large") and got["song.mp3"] == (True, None)
