@@ -158,6 +158,10 @@ def _wide(text: str, chains: Sequence[tuple[str, str]]) -> str | None:
             out = _RUN.sub(fix, text)
             if out != text and len(out) < len(text):
                 return out
+        elif true == "euc_jp" and "\x8f" in text:  # the sign that a letter of three bytes follows: Latin, Greek or Cyrillic ones with marks
+            out = _RUN.sub(lambda m, wrong=wrong: m[0] if (new := undo(m[0], wrong, "euc_jp")) is None or not _plausible(new) else new, text)
+            if len(out) < len(text):
+                return out
         elif true in ("cp932", "euc_jp") and len(text) > 1 and oddness(text):
             out = undo(text, wrong, true)
             if out is not None and len(out) < len(text):

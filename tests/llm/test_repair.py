@@ -22,6 +22,8 @@ def test_multi_byte_lines_come_back_even_twice_garbled():
     assert restore_line(twice, [("cp1252", "utf-8")])[0] == CLEAN[0]
     for text in CLEAN:
         assert restore_line(text, [("cp1252", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "cp932")])[:2] == (text, False)
+    latin = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in CLEAN[4].encode("euc_jp"))
+    assert restore_line(latin, [("cp1252", "utf-8"), ("cp1252", "euc_jp")])[0] == CLEAN[4]
 
 
 def test_oddness_tells_words_from_garbage():
