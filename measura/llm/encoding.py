@@ -358,11 +358,12 @@ def repair_lines(lines: DataFrame, chains: Sequence[tuple[str, str]]) -> DataFra
     whole = holes.withColumn("skeleton", _bare("now"))
     clean = lines.where(F.col("line").rlike(r"[^\x00-\x7F]") & ~F.col("line").rlike(r"[�?\x{80}-\x{9F}]")).join(named.select("line"), "line", "left_anti")
     clean = clean.withColumn("skeleton", _bare("line")).select(F.col("line").alias("twin"), "n", "skeleton")
-    line_twin = whole.where("skeleton IS NOT NULL").join(clean, "skeleton").where(_fits("now", "twin")).groupBy("line").agg(F.max_by("twin", F.struct("n", "twin")).alias("twin"))
+    line_twin = whole.where("skeleton IS NOT NULL").join(clean, (whole["skeleton"] == clean["skeleton"]) & (F.length("now") == F.length("twin"))).where(_fits("now", "twin")).groupBy("line").agg(F.max_by("twin", F.struct("n", "twin")).alias("twin"))
     torn = holes.select("line", F.explode(F.split("now", r"[\s.,;:!()\[\]_\"“”]+")).alias("word")).where(F.col("word").rlike(r"[�?]") & F.col("word").rlike(r"\p{L}"))
     torn = torn.select("line", "word").distinct().withColumn("skeleton", _bare_word("word"))
     lexicon = words.where(F.col("token").rlike(r"[^\x00-\x7F]") & ~F.col("token").rlike(r"[\x{80}-\x{9F}]")).withColumn("skeleton", _bare_word("token"))
-    word_twin = torn.join(lexicon.where("skeleton IS NOT NULL"), "skeleton").where(_fits("word", "token")).groupBy("line", "word").agg(F.max_by("token", F.struct("times", "token")).alias("fixed"))
+    known_words = lexicon.where("skeleton IS NOT NULL")
+    word_twin = torn.join(known_words, (torn["skeleton"] == known_words["skeleton"]) & (F.length("word") == F.length("token"))).where(_fits("word", "token")).groupBy("line", "word").agg(F.max_by("token", F.struct("times", "token")).alias("fixed"))
     word_twins = word_twin.groupBy("line").agg(F.collect_list(F.struct("word", "fixed")).alias("torn"))
     out = named.join(line_twin, "line", "left").join(word_twins, "line", "left")
     restored = F.coalesce("twin", _replaced("now", "torn"))
