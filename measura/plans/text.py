@@ -56,6 +56,14 @@ def a23_plain_cues(spark, d):
     return P.plain_cues(_docs(spark, d, "sheet"), "doc_id", "text", F.lit(180.0))
 
 
+def a18_loaded_documents(spark, d):
+    """Documents of cues loaded by the parser of their kind: how many cues each gives, from when to when; one that gives none is refused."""
+    docs = table(spark, d, "documents").where(F.col("doc_kind").isin("vtt", "lrc", "sheet")).select("doc_id", "doc_kind")
+    cues = [q(spark, d).select("doc_id", "start", "end") for q in (a19_vtt_cues, a20_lrc_cues, a23_plain_cues)]
+    spans = cues[0].unionByName(cues[1]).unionByName(cues[2]).groupBy("doc_id").agg(F.count("*").alias("cues"), F.round(F.min("start"), 3).alias("first"), F.round(F.max("end"), 3).alias("last"))
+    return docs.join(spans, "doc_id", "left").select("doc_id", "doc_kind", F.coalesce("cues", F.lit(0)).alias("cues"), "first", "last", F.col("cues").isNull().alias("refused"))
+
+
 def a26_embedded_cues(spark, d):
     """Cues of each embedded sheet: by its stamps, else a line each."""
     t = _lyrics(spark, d).where("trim(text) <> ''").withColumn("is_lrc", P.looks_like_lrc(F.col("text")))
@@ -242,7 +250,7 @@ def a5_file_sizes(spark, d):
     return _media(spark, d).select("song_id", X.file_size(F.concat(F.col("song_id").cast("string"), unit)).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (a1_parse_source, a2_validate_url, a5_file_sizes, a8_digests, a17_bounded_text, a18_document_formats, a19_vtt_cues, a20_lrc_cues, a22_looks_like_lrc, a23_plain_cues, a26_embedded_cues, b6_phantom_phrases, b9_marker_lines, h1_display_line, h3_plain_text, h4_tokens, h6_levenshtein, h7_similarity, h8_letter_mask, h9_pair_score, h10_line_rules, h11_language_base, h12_tag_keys, h13_receipts, h14_redaction, h15_tuning_labels, h16_roman, h18_aligned_source, h19_size_labels, h21_clock_seconds, h22_clock_text, h24_utc_text, h25_fret_geometry, h28_inlays, h29_string_widths, h30_display_points, h31_note_life, h32_weights, h33_decimals)}
+QUERIES = {f.__name__: f for f in (a1_parse_source, a2_validate_url, a5_file_sizes, a8_digests, a17_bounded_text, a18_document_formats, a18_loaded_documents, a19_vtt_cues, a20_lrc_cues, a22_looks_like_lrc, a23_plain_cues, a26_embedded_cues, b6_phantom_phrases, b9_marker_lines, h1_display_line, h3_plain_text, h4_tokens, h6_levenshtein, h7_similarity, h8_letter_mask, h9_pair_score, h10_line_rules, h11_language_base, h12_tag_keys, h13_receipts, h14_redaction, h15_tuning_labels, h16_roman, h18_aligned_source, h19_size_labels, h21_clock_seconds, h22_clock_text, h24_utc_text, h25_fret_geometry, h28_inlays, h29_string_widths, h30_display_points, h31_note_life, h32_weights, h33_decimals)}
 
 _LY = "ly AS (SELECT DISTINCT lyrics_id, song_id, tag, origin, language_code, text FROM embedded_lyrics)"
 _ME = "me AS (SELECT song_id, any_value(title) AS title, any_value(artist) AS artist FROM media_metadata GROUP BY 1)"
@@ -299,3 +307,6 @@ SELECT doc_id, coalesce(CAST(p[3] AS DOUBLE), 0) * 3600 + CAST(p[2] AS DOUBLE) *
     "h32_weights": f"WITH {_CU} SELECT cue_id, greatest(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 1)::INT AS weight FROM cu",
     "h33_decimals": f"WITH {_LY}, s AS (SELECT lyrics_id, regexp_extract(text, '(\\d+\\.\\d+)', 1) AS s FROM ly) SELECT lyrics_id, CAST(s AS DOUBLE) AS value FROM s WHERE s <> ''",
 }
+_LOADED = " UNION ALL ".join(f'SELECT doc_id, start, "end" FROM ({ORACLES[name]})' for name in ("a19_vtt_cues", "a20_lrc_cues", "a23_plain_cues"))
+ORACLES["a18_loaded_documents"] = f"""WITH loaded AS ({_LOADED}), spans AS (SELECT doc_id, count(*) AS cues, round(min(start), 3) AS first, round(max("end"), 3) AS last FROM loaded GROUP BY 1)
+SELECT d.doc_id, doc_kind, coalesce(cues, 0) AS cues, first, last, cues IS NULL AS refused FROM documents d LEFT JOIN spans USING (doc_id) WHERE doc_kind IN ('vtt', 'lrc', 'sheet')"""
