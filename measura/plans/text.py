@@ -177,7 +177,9 @@ def h32_weights(spark, d):
 
 
 def h33_decimals(spark, d):
-    return _lyrics(spark, d).where("text IS NOT NULL").select("lyrics_id", F.regexp_extract("text", r"(\d+\.\d+)", 1).alias("s")).where("s <> ''").select("lyrics_id", F.col("s").cast("double").alias("value"))
+    """Every decimal in a sheet, with its place."""
+    found = _lyrics(spark, d).where("text IS NOT NULL").select("lyrics_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\d+\.\d+"), F.lit(0))).alias("place", "s"))
+    return found.select("lyrics_id", "place", F.col("s").cast("double").alias("value"))
 
 
 def _frets(spark):
@@ -305,7 +307,7 @@ SELECT doc_id, coalesce(CAST(p[3] AS DOUBLE), 0) * 3600 + CAST(p[2] AS DOUBLE) *
     "h30_display_points": "SELECT s::INT AS string, f::INT AS fret, (5 - s)::INT AS row, round(CASE WHEN f = 0 THEN 0 ELSE ((1 - 2.0::DOUBLE ** (-(f - 1) / 12)) + (1 - 2.0::DOUBLE ** (-f / 12))) / 2 / 0.75 END, 9) AS x, round((5 - s + 0.5::DOUBLE) / 6, 9) AS y FROM range(0, 25) a(f), range(0, 6) b(s)",
     "h31_note_life": "WITH n AS (SELECT DISTINCT note_id, greatest(end_s - start_s, 0.22::DOUBLE) AS life FROM notes WHERE NOT isnan(start_s) AND end_s > start_s AND end_s < 1e300) SELECT note_id, round(life, 6) AS life, round(greatest(0.0::DOUBLE, 1 - 0.5::DOUBLE / life), 6) AS level FROM n",
     "h32_weights": f"WITH {_CU} SELECT cue_id, greatest(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 1)::INT AS weight FROM cu",
-    "h33_decimals": f"WITH {_LY}, s AS (SELECT lyrics_id, regexp_extract(text, '(\\d+\\.\\d+)', 1) AS s FROM ly) SELECT lyrics_id, CAST(s AS DOUBLE) AS value FROM s WHERE s <> ''",
+    "h33_decimals": f"WITH {_LY}, s AS (SELECT lyrics_id, regexp_extract_all(text, '\\d+\\.\\d+') AS found FROM ly), u AS (SELECT lyrics_id, unnest(found) AS s, generate_subscripts(found, 1)::INT - 1 AS place FROM s) SELECT lyrics_id, place, CAST(s AS DOUBLE) AS value FROM u",
 }
 _LOADED = " UNION ALL ".join(f'SELECT doc_id, start, "end" FROM ({ORACLES[name]})' for name in ("a19_vtt_cues", "a20_lrc_cues", "a23_plain_cues"))
 ORACLES["a18_loaded_documents"] = f"""WITH loaded AS ({_LOADED}), spans AS (SELECT doc_id, count(*) AS cues, round(min(start), 3) AS first, round(max("end"), 3) AS last FROM loaded GROUP BY 1)

@@ -37,7 +37,8 @@ def parse_lrc(df: DataFrame, key: str, text: str, duration: float = 600.0) -> Da
 def parse_lrc_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_ix, word_ix, start, word) of the word stamps inside lines."""
     parts = lines_of(df, key, text).where(F.col("line").rlike(WORD_STAMP))
-    stamps, words = F.regexp_extract_all("line", F.lit(WORD_STAMP), F.lit(1)), F.slice(F.split("line", WORD_STAMP), 2, 100_000)
+    pieces = F.split("line", WORD_STAMP)
+    stamps, words = F.regexp_extract_all("line", F.lit(WORD_STAMP), F.lit(1)), F.slice(pieces, F.lit(2), F.size(pieces))
     z = parts.select(key, "line_ix", F.posexplode(F.arrays_zip(stamps.alias("stamp"), words.alias("word"))).alias("word_ix", "z"))
     return z.select(key, "line_ix", "word_ix", clock_seconds(F.col("z.stamp")).alias("start"), plain_text(F.col("z.word")).alias("word")).where("word <> ''")
 
