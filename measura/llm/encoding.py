@@ -181,10 +181,7 @@ def _poses(word: str) -> bool:
 def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, bool, list[tuple[str, str, str]]]:
     """(text so far, changed, [(word, reading, chain)]): multi-byte repairs are sure, single-byte readings of odd words need a known word."""
     out, changed = text, False
-    for _ in range(3):  # text may have been garbled more than once
-        better = _wide(out, chains)
-        if better is None:
-            break
+    while (better := _wide(out, chains)) is not None:  # text may have been garbled more than once; each reading is shorter
         out, changed = better, True
     readings = []
     if not out.isascii():
