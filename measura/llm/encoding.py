@@ -178,20 +178,28 @@ def _poses(word: str) -> bool:
     return 0 < len(foreign) < sum(map(str.isalpha, word)) and all(c in POSING for c in foreign)
 
 
+@lru_cache(50_000)
+def _word_readings(word: str, chains: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
+    """(reading, chain) of an odd or long word by each single-byte chain that makes a word of it."""
+    if len(word) <= 3 and not oddness(word) or _poses(word):
+        return ()
+    out = []
+    for wrong, true in chains:
+        fixed = undo(word, wrong, true)
+        if fixed is not None and all(c.isalpha() or c in "'’-" for c in fixed.strip("“”") if c > "\x7f") and oddness(fixed) == 0 and _plausible(fixed):
+            out.append((fixed, f"{wrong}>{true}"))
+    return tuple(out)
+
+
 def restore_line(text: str, chains: Sequence[tuple[str, str]]) -> tuple[str, bool, list[tuple[str, str, str]]]:
     """(text so far, changed, [(word, reading, chain)]): multi-byte repairs are sure, single-byte readings of odd words need a known word."""
     out, changed = text, False
     while (better := _wide(out, chains)) is not None:  # text may have been garbled more than once; each reading is shorter
         out, changed = better, True
-    readings = []
-    if not out.isascii():
-        for word in dict.fromkeys(_WORD.findall(out)):
-            if not word.isascii() and (len(word) > 3 or oddness(word)) and not _poses(word):
-                for wrong, true in chains:
-                    if true not in TRUE_WIDE and (fixed := undo(word, wrong, true)) is not None:
-                        if all(c.isalpha() or c in "'’-" for c in fixed.strip("“”") if c > "\x7f") and oddness(fixed) == 0 and _plausible(fixed):
-                            readings.append((word, fixed, f"{wrong}>{true}"))
-    return out, changed, readings
+    if out.isascii():
+        return out, changed, []
+    narrow = tuple((w, t) for w, t in chains if t not in TRUE_WIDE)
+    return out, changed, [(word, *r) for word in dict.fromkeys(_WORD.findall(out)) if not word.isascii() for r in _word_readings(word, narrow)]
 
 
 def likely_line(text: str, wide: Sequence[tuple[str, str]], narrow: Sequence[tuple[str, str]]) -> str:
@@ -427,6 +435,15 @@ def _fits(torn: pa.Array, whole: pa.Array) -> pa.Array:
 STAMP = r"^((?:\[[0-9:.]+\]\s?)*)"
 
 
+_SUSPECT = r"[^\x00-\x7F]|\?"
+
+
+def _lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, at, stamp, line) of the lines of texts."""
+    split = rows.select(*keys, F.posexplode(F.split("original", "\n")).alias("at", "raw"))
+    return split.select(*keys, "at", F.regexp_extract("raw", STAMP, 1).alias("stamp"), F.regexp_replace(F.regexp_replace("raw", STAMP, ""), "\r$", "").alias("line"))
+
+
 def garbled_fields(df: DataFrame, keys: Sequence[str], text: str, min_share: float = MIN_SHARE, chains: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(keys, original, restored, is_restored) of each garbled text of ``df``.
 
@@ -435,14 +452,13 @@ def garbled_fields(df: DataFrame, keys: Sequence[str], text: str, min_share: flo
     an empty table an empty result; other columns are not read. ``chains`` skips the learning.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(text).alias("original")).where("original <> ''").dropDuplicates(keys)
-    split = rows.select(*keys, F.posexplode(F.split("original", "\n")).alias("at", "raw"))
-    split = split.withColumn("stamp", F.regexp_extract("raw", STAMP, 1)).withColumn("line", F.regexp_replace(F.regexp_replace("raw", STAMP, ""), "\r$", ""))
-    lines = split.where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).persist()
+    base = df.select(*keys, F.col(text).alias("original")).where("original <> ''")
+    # all texts give words and twins; only those with other characters than ASCII, or question marks, can be garbled
+    lines = _lines(base.distinct(), keys).where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).persist()
     fixed = cut(repair_lines(lines, learn(lines, min_share) if chains is None else chains))
     lines.unpersist()
-    suspect = split.where(F.col("line").rlike(r"[^\x00-\x7F]|\?"))
-    hits = suspect.join(fixed, "line").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", F.concat("stamp", "restored")))).alias("new"), F.min("is_restored").alias("is_restored"))
+    rows = base.where(F.col("original").rlike(_SUSPECT)).dropDuplicates(keys)
+    hits = _lines(rows, keys).where(F.col("line").rlike(_SUSPECT)).join(fixed, "line").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", F.concat("stamp", "restored")))).alias("new"), F.min("is_restored").alias("is_restored"))
     out = rows.join(hits, keys)
     parts = F.transform(F.split("original", "\n"), lambda x, i: F.coalesce(F.concat(F.try_element_at("new", i), F.when(x.endswith("\r"), "\r").otherwise("")), x))
     return out.select(*keys, "original", F.array_join(parts, "\n").alias("restored"), "is_restored")

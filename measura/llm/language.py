@@ -369,13 +369,13 @@ def line_languages(lines: DataFrame, net: BiGru, parts: bool = False) -> DataFra
 def record_languages(items: DataFrame, net: BiGru, keys: Sequence[str], item: str, line: str, parts: bool = False) -> DataFrame:
     """(keys, item, part, lang, conf, words) of each line of each record: lines without words of a language are left out.
 
-    ``items`` has one row for each line, told apart by the keys and ``item``; rows repeated under them
-    count once, null lines and those without letters not at all. Each distinct line is read by the network once;
+    ``items`` has one row for each line, told apart by the keys and ``item``; rows repeated under them with the
+    same line count once, null lines and those without letters not at all. Each distinct line is read by the network once;
     what is joined back are hashes of 128 bits, so no text is shuffled twice. ``parts`` as in ``line_languages``.
     """
     keys = list(keys)
     rows = items.where(F.col(line).rlike(r"\p{L}")).select(*keys, item, F.col(line).alias("line"))
     hashed = rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
-    distinct = hashed.groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    once = hashed.groupBy(*keys, item).agg(F.min(F.struct("h1", "h2")).alias("h")).select(*keys, item, "h.*")
+    distinct = hashed.select("h1", "h2", "line").distinct()
+    once = hashed.select(*keys, item, "h1", "h2").distinct()
     return once.join(line_languages(distinct, net, parts), ["h1", "h2"]).drop("h1", "h2")
