@@ -6,12 +6,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from measura.functions import text as X
+from measura.functions.music import TUNINGS
 from measura.operators import interval_joins as J
+from measura.operators import notes as N
 from measura.operators.intervals import prefix_max
 from measura.operators.sequences import edit_loops
 from measura.plans.joins import _CP, _cue_probes
+from measura.plans.notes import TUNING_SQL
 from measura.session import table
-from measura.sources.bind import CUES_SQL, load_cues, load_words
+from measura.sources.bind import CUES_SQL, NOTES_SQL, load_cues, load_notes, load_words
 
 # Kinds of sections, keys of title tags, the shortest and the usual loop, the life of an impact and how many show.
 KINDS = ("intro", "verse", "chorus", "bridge", "interlude", "outro", "section")
@@ -150,10 +153,16 @@ def j19_closed_cue_at(spark, d):
     return hit.select("attempt_id", "t", F.when(F.col("t") <= F.col("end"), F.col("cue_id")).alias("cue_id"))
 
 
-QUERIES = {f.__name__: f for f in (s5_block_mix, s7_watermark, s10_drift, s11_group_barrier, s12_loop_edits, s13_edge_events, s15_mute_solo, b13_sections, b17_offsets, b19_valid_utf8, a25_stored_reports, a28_metadata, a29_json_objects, a36_artifacts, j19_closed_cue_at)}
+def h20_player_strings(spark, d):
+    """Positions of each note with the string's number as players count them: from the highest string, 1, to the lowest, 6."""
+    return N.positions(load_notes(spark, d)).select("note_id", "string", (F.lit(len(TUNINGS["standard"])) - F.col("string")).alias("player_string"))
+
+
+QUERIES = {f.__name__: f for f in (h20_player_strings, s5_block_mix, s7_watermark, s10_drift, s11_group_barrier, s12_loop_edits, s13_edge_events, s15_mute_solo, b13_sections, b17_offsets, b19_valid_utf8, a25_stored_reports, a28_metadata, a29_json_objects, a36_artifacts, j19_closed_cue_at)}
 
 _WORDS = """words_c AS (SELECT DISTINCT word_id, cue_id, attempt_id, word_ix, start_s AS start FROM lyric_words WHERE isfinite(start_s) AND isfinite(end_s) AND start_s >= 0 AND end_s >= start_s)"""
 ORACLES = {
+    "h20_player_strings": f"WITH {NOTES_SQL}, {TUNING_SQL} SELECT note_id, string, 6 - string AS player_string FROM notes_c JOIN tuning ON pitch - open BETWEEN 0 AND 20",
     "s7_watermark": "WITH e AS (SELECT event_type, epoch_us(ts) < max(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 3600000000 AS late FROM events) SELECT event_type, count(*) AS events, count(*) FILTER (late) AS late FROM e GROUP BY 1",
     "s10_drift": rf"""WITH {CUES_SQL}, {_WORDS}, n AS (SELECT w.attempt_id, w.start - (c.start + (c."end" - c.start) * w.word_ix / len(string_split_regex(trim(c.text), '\s+'))) AS drift FROM words_c w JOIN cues_c c USING (cue_id))
 SELECT attempt_id, count(*) FILTER (abs(drift) > 0.12::DOUBLE) AS seeks, count(*) FILTER (abs(drift) <= 0.12::DOUBLE) AS held, round(avg(greatest(0.985::DOUBLE, least(1.015::DOUBLE, 1 - drift * 0.18::DOUBLE))) FILTER (abs(drift) <= 0.12::DOUBLE), 6) AS mean_rate FROM n GROUP BY 1""",

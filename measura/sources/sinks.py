@@ -22,11 +22,13 @@ def write_lyrics(cues: DataFrame, path: str, key: str, source: str, language: st
     docs.write.mode("overwrite").json(path)
 
 
-def write_tab(positions: DataFrame, path: str, key: str, group: str, tuning: tuple[int, ...], max_fret: int) -> None:
-    """One JSON document for each key: its events with their positions, the tuning, and how many events it has."""
+def write_tab(positions: DataFrame, path: str, key: str, group: str, tuning: tuple[int, ...], max_fret: int, omitted: DataFrame | None = None) -> None:
+    """One JSON document for each key: its events with their positions, the tuning, how many events it has and, by ``omitted`` (key, omitted), how many notes it leaves out."""
     events = positions.groupBy(key, group).agg(F.array_sort(F.collect_list(F.struct("string", "fret", "pitch"))).alias("positions"))
     docs = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("start"), "positions"))).alias("events"), F.count("*").alias("n_events"))
     docs = docs.withColumn("tuning", F.struct(F.array(*(F.lit(t) for t in tuning)).alias("midi"), F.lit(max_fret).alias("max_fret")))
+    if omitted is not None:
+        docs = docs.join(omitted.select(key, F.col("omitted").alias("omitted_notes")), key, "left")
     docs.write.mode("overwrite").json(path)
 
 

@@ -68,6 +68,9 @@ def test_sinks(spark, tmp_path):
     pos = spark.createDataFrame([(1, 0.5, 0, 3, 43)], "run long, anchor double, string int, fret int, pitch int")
     sinks.write_tab(pos, str(tmp_path / "t"), "run", "anchor", (40, 45, 50, 55, 59, 64), 20)
     assert spark.read.json(str(tmp_path / "t")).first().n_events == 1
+    left_out = spark.createDataFrame([(1, 4)], "run long, omitted long")
+    sinks.write_tab(pos, str(tmp_path / "t"), "run", "anchor", (40, 45, 50, 55, 59, 64), 20, left_out)
+    assert spark.read.json(str(tmp_path / "t")).first().omitted_notes == 4
     assert [tuple(r) for r in sinks.read_tabs(spark, str(tmp_path / "t"), "run").collect()] == [(1, 0.5, 0, 3, 43, None)]
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.json").write_text('{"run": 2, "events": [{"start": 0.5, "positions": [{"string": 0, "fret": 3, "pitch": 44}]}], "n_events": 1, "tuning": {"midi": [40], "max_fret": 20}}\n{"run": 3}\nnot json\n')
